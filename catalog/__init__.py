@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("fidelity",)
+FAMILIES = ("fidelity", "structure")
 
 
 def all_queries() -> dict[str, Query]:

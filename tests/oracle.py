@@ -46,7 +46,11 @@ def canonical(rows, columns):
 
 
 def compare(spark_df, con, sql: str) -> str:
-    rows, cols = canonical([tuple(r) for r in spark_df.collect()], spark_df.columns)
+    return compare_rows([tuple(r) for r in spark_df.collect()], spark_df.columns, con, sql)
+
+
+def compare_rows(spark_rows, spark_columns, con, sql: str) -> str:
+    rows, cols = canonical(spark_rows, spark_columns)
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     want, want_cols = canonical(result.fetchall(), names)
@@ -89,15 +93,18 @@ def main(argv: list[str]) -> int:
         start = time.time()
         try:
             df = query(spark, sf_dir)
+            rows = [tuple(r) for r in df.collect()]
+            took = time.time() - start
             if name in sql:
-                problem = compare(df, con, sql[name])
+                problem = compare_rows(rows, df.columns, con, sql[name])
                 verdict = "ok" if not problem else f"MISMATCH {problem}"
             else:
-                verdict, problem = f"rows {len(df.collect())}", ""
+                verdict, problem = f"rows only: {len(rows)} {df.columns}", ""
         except Exception as error:  # keep going: one report for all queries
+            took = time.time() - start
             problem = verdict = f"ERROR {type(error).__name__}: {str(error)[:250]}"
         bad += bool(problem)
-        print(f"{name:38s} {time.time() - start:6.2f}s {verdict}", flush=True)
+        print(f"{name:36s} spark {took:6.2f}s  all {time.time() - start:6.2f}s {verdict}", flush=True)
     print(f"{bad} problem(s)")
     return bad
 

@@ -61,7 +61,7 @@ def ks_complement(
     if grid:
         cells = {c: _grid_cell(real, c, expr, grid) for c, expr in cells.items()}
     long = long_cells(tagged, cells, ["source"]).where(F.col("value").isNotNull())
-    return _ks_from_cells(long, names, ["column"])
+    return ks_from_cells(long, names, ["column"])
 
 
 def _grid_cell(real: DataFrame, column: str, value: Column, grid: int) -> Column:
@@ -70,7 +70,7 @@ def _grid_cell(real: DataFrame, column: str, value: Column, grid: int) -> Column
     return F.when(value.isNotNull(), F.size(F.filter(cuts, lambda cut: cut < value)).cast("double"))
 
 
-def _ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
+def ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
     """KS complement from rows ``(source, *ids, value)``, per copy and id."""
     sources = [REAL, *names]
     counts = long.groupBy(*ids, "value").agg(*_counters(sources))
@@ -104,10 +104,10 @@ def tv_complement(real: DataFrame, copies: dict[str, DataFrame], columns: list[s
     names = list(copies)
     tagged = tag_sources(real, copies, columns)
     long = long_cells(tagged, {c: F.col(c).cast("string") for c in columns}, ["source"])
-    return _tv_from_cells(long, names, ["column"], ["value"])
+    return tv_from_cells(long, names, ["column"], ["value"])
 
 
-def _tv_from_cells(long: DataFrame, names: list[str], ids: list[str], values: list[str]) -> DataFrame:
+def tv_from_cells(long: DataFrame, names: list[str], ids: list[str], values: list[str]) -> DataFrame:
     sources = [REAL, *names]
     counts = long.groupBy(*ids, *values).agg(*_counters(sources))
     totals = counts.groupBy(*ids).agg(*[F.sum(f"n_{i}").alias(f"t_{i}") for i in range(len(sources))])
@@ -209,7 +209,7 @@ def contingency_similarity(
         ]
     )
     long = labels.select("source", F.inline(rows))
-    return _tv_from_cells(long, list(copies), ["column_1", "column_2"], ["a", "b"])
+    return tv_from_cells(long, list(copies), ["column_1", "column_2"], ["a", "b"])
 
 
 def column_pair_trends(
