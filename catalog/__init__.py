@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("fidelity", "structure")
+FAMILIES = ("sources", "fidelity", "structure", "profiling")
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions import naming
@@ -15,7 +15,7 @@ from twinlens.functions.values import text_key
 from twinlens.model import (
     Relationship, Tables, is_date, is_integer, is_numeric, scalar_columns,
 )
-from twinlens.operators.counting import long_cells, text_counts
+from twinlens.operators.counting import long_cells, sketched_distinct, text_counts
 from twinlens.operators.scd import with_next_version
 
 USABLE = 0.8
@@ -157,7 +157,7 @@ def _sketched_stats(df: DataFrame) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.count(F.lit(1)).alias("n_rows"),
                 F.count(c).alias("n_filled"),
-                F.least(F.approx_count_distinct(c, 0.01), F.count(c)).alias("n_distinct"),
+                F.least(sketched_distinct(c), F.count(c)).alias("n_distinct"),
                 F.count(moment).alias("n_parsed"),
                 F.min(moment).alias("first"),
                 F.max(moment).alias("last"),

@@ -1,0 +1 @@
+"""Empty on purpose: every source of this domain is a finished table, never a stream."""
