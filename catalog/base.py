@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from twinlens.model import ColumnRoles
 from twinlens.operators.refill import bootstrap_table
 from twinlens.operators.split import split_random
+from twinlens.session import durable
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,7 +49,8 @@ def lineitem_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def lineitem_boot(train: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or LINE_ROLES.modelable
-    return bootstrap_table(train.select("row_key", *columns), F.col("row_key"), seed=7, small=LINE_SMALL).select(*columns)
+    # written once: a copy is an input of many metrics and must not be drawn again for each
+    return durable(bootstrap_table(train, F.col("row_key"), columns, seed=7, small=LINE_SMALL))
 
 
 def line_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -13,32 +13,26 @@ SMALL_LIMIT = 1000
 _DIGITS = 3  # 4096 index buckets; use 4 or 5 for tables beyond ~10^10 rows
 
 
-def index_rows(df: DataFrame, key: Column, digits: int = _DIGITS) -> DataFrame:
-    """Add ``__idx``: a dense 0-based index in order of the digest of ``key``.
+def index_rows(df: DataFrame, key: Column, columns: list[str], digits: int = _DIGITS) -> DataFrame:
+    """``(__idx, *columns)``: a dense 0-based index in order of the digest of ``key``.
 
     A digest spreads rows evenly over 16^digits buckets whatever the values
     are.  Rows are numbered inside their bucket; the bucket sizes (a table of
     fixed size) give the offsets.  No global sort, no single-task window.
     """
-    digest = F.md5(key)
-    keyed = df.withColumn("__digest", digest).withColumn(
-        "__bucket", F.substring("__digest", 1, digits)
-    )
+    digest = F.md5(key.cast("string"))
+    bucket = F.substring(digest, 1, digits)
+    keyed = df.select(digest.alias("__digest"), bucket.alias("__bucket"), *columns)
     earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     # bounded by construction: at most 16^digits rows
     offsets = (
-        df.select(F.substring(digest, 1, digits).alias("__bucket"))
-        .groupBy("__bucket")
+        df.groupBy(bucket.alias("__bucket"))
         .agg(F.count(F.lit(1)).alias("__size"))
         .select("__bucket", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
     )
-    within = Window.partitionBy("__bucket").orderBy("__digest", *df.columns)
-    return (
-        keyed.withColumn("__pos", F.row_number().over(within))
-        .join(F.broadcast(offsets), "__bucket")
-        .withColumn("__idx", F.col("__offset") + F.col("__pos") - 1)
-        .drop("__digest", "__bucket", "__pos", "__offset")
-    )
+    within = Window.partitionBy("__bucket").orderBy("__digest", *columns)
+    numbered = keyed.withColumn("__pos", F.row_number().over(within)).join(F.broadcast(offsets), "__bucket")
+    return numbered.select((F.col("__offset") + F.col("__pos") - 1).alias("__idx"), *columns)
 
 
 def refill(
@@ -60,7 +54,7 @@ def refill(
     if not columns:
         return synth
     n_real = real.agg(F.count(F.lit(1))).scalar()
-    indexed = index_rows(real.select(*columns), real_key)
+    indexed = index_rows(real, real_key, columns)
     kept = [c for c in synth.columns if c not in columns]
     draws = {f"__draw_{c}": hash_draw(synth_key, c, seed, n_real) for c in columns}
     out = synth.select(*kept, *[expr.alias(name) for name, expr in draws.items()])
@@ -125,15 +119,21 @@ def refill_small(
 
 
 def bootstrap_table(
-    real: DataFrame, key: Column, seed: int = 0, small: list[str] | None = None
+    real: DataFrame,
+    key: Column,
+    columns: list[str] | None = None,
+    seed: int = 0,
+    small: list[str] | None = None,
 ) -> DataFrame:
-    """Baseline generator: as many rows as ``real``, every column drawn on its own."""
-    small = [c for c in (small or []) if c in real.columns]
-    large = [c for c in real.columns if c not in small]
-    frame = real.select(key.alias("__row"))
-    frame, wide = refill_small(frame, real, small, F.col("__row"), seed)
-    frame = refill(frame, real, large + wide, F.col("__row"), key, seed=seed)
-    return frame.select(*real.columns)
+    """Baseline generator: as many rows as ``real``, every column drawn on its own.
+
+    ``small`` names columns expected to have few values; they skip the join.
+    """
+    columns = columns or real.columns
+    few = [c for c in columns if c in (small or [])]
+    frame, wide = refill_small(real.select(key.alias("__row")), real, few, F.col("__row"), seed)
+    rest = [c for c in columns if c not in few or c in wide]
+    return refill(frame, real, rest, F.col("__row"), key, seed=seed).select(*columns)
 
 
 def columns_to_model(
