@@ -24,7 +24,7 @@ def split_random(
     return df.where(~held), df.where(held)
 
 
-def _parents_first(names: list[str], parent_of: dict[str, Relationship]) -> list[str]:
+def parents_first(names: list[str], parent_of: dict[str, Relationship]) -> list[str]:
     """Tables in an order where every resolvable parent precedes its child."""
     ordered: list[str] = [n for n in names if n not in parent_of]
     pending = [n for n in names if n in parent_of]
@@ -50,7 +50,7 @@ def mark_relational(
     """
     parent_of = {r.child_table: r for r in relationships}
     marked: Tables = {}
-    for name in _parents_first(list(tables), parent_of):
+    for name in parents_first(list(tables), parent_of):
         df = tables[name]
         own = in_holdout(row_keys[name], fraction, seed)
         link = parent_of.get(name)
