@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("sources", "fidelity", "structure", "profiling", "repair", "generation")
+FAMILIES = ("sources", "fidelity", "structure", "profiling", "repair", "generation", "privacy")
 
 
 def all_queries() -> dict[str, Query]:

@@ -77,7 +77,7 @@ def boot_sql(real: str, key: str, columns: list[str], small: list[str], seed: in
     """CTEs that bootstrap ``columns`` of ``real``; the last one is called ``out``."""
     big = [c for c in columns if c not in small]
     # rows with equal digests are numbered in column order, as in the Spark version
-    order = ", ".join([f"md5({key})", *([key] if key not in big else []), *big])
+    order = ", ".join([f"md5({key}::VARCHAR)", *([key] if key not in big else []), *big])
     n = f"(SELECT count(*) FROM {real})"
     ctes = [
         f"{out}_d AS (SELECT {key}, "

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.values import numeric_or_epoch, text_key
+from twinlens.session import durable
 
 
 def long_cells(df: DataFrame, cells: dict[str, Column], ids: Iterable[str] = ()) -> DataFrame:
@@ -68,3 +69,38 @@ def before_run(groups: list[str], measure: str, first: str = "run_first") -> Col
 def sketched_distinct(column: str) -> Column:
     """Approximate distinct count (about 1% error) that never shuffles values."""
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.col(column).cast("string"), 14))
+
+
+def exact_percentiles(long: DataFrame, ids: list[str], fractions: list[float]) -> DataFrame:
+    """Interpolated percentiles of ``value`` per group, as columns ``p0, p1, ...``.
+
+    The built-in exact percentile keeps all distinct values of a group in one
+    task.  Here values are counted, cut into ranges and ranked range by range;
+    the ranges are written down once so that both readers see the same cuts.
+    """
+    filled = long.where(F.col("value").isNotNull())
+    counts = filled.groupBy(*ids, "value").agg(F.count(F.lit(1)).alias("n"))
+    runs = durable(ordered_runs(counts, ids, "value", ["n"]))
+    sizes = runs.groupBy(*ids, "run").agg(F.min("value").alias("run_first"), F.sum("n").alias("run_n"))
+    whole = Window.partitionBy(*ids)
+    offsets = sizes.select(
+        *ids, "run", before_run(ids, "run_n").alias("before"), F.sum("run_n").over(whole).alias("total")
+    )
+    # one row per group and range: at most columns x shuffle partitions
+    ranked = runs.join(F.broadcast(offsets), [*ids, "run"])
+    upto = F.col("before") + F.col("cum_n")
+    picks = []
+    for i, fraction in enumerate(fractions):
+        place = F.lit(fraction) * (F.col("total") - 1)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (rank >= upto - F.col("n")) & (rank < upto)
+            picks.append(F.max(F.when(here, F.col("value"))).alias(f"{side}{i}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"w{i}"))
+    found = ranked.groupBy(*ids).agg(*picks)
+    return found.select(
+        *ids,
+        *[
+            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"p{i}")
+            for i in range(len(fractions))
+        ],
+    )
