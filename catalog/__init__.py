@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("sources", "fidelity", "structure", "profiling", "repair", "generation", "privacy")
+FAMILIES = (
+    "sources", "fidelity", "structure", "profiling", "repair", "generation", "privacy", "utility", "ranking",
+)
 
 
 def all_queries() -> dict[str, Query]:
