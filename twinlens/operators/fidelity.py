@@ -78,7 +78,7 @@ def ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFram
     runs = ordered_runs(counts, ids, "value", [f"n_{i}" for i in range(len(sources))])
     # totals hold one row per column of the table, so the broadcast is bounded by the schema
     runs = runs.join(F.broadcast(totals), ids)
-    share = {i: F.col(f"cum_n_{i}") / F.col(f"t_{i}") for i in range(len(sources))}
+    share = {i: F.try_divide(f"cum_n_{i}", f"t_{i}") for i in range(len(sources))}
     aggregates = [F.min("value").alias("run_first")]
     for i in range(1, len(sources)):
         gap = share[0] - share[i]
@@ -86,7 +86,7 @@ def ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFram
     for i in range(len(sources)):
         aggregates += [F.sum(f"n_{i}").alias(f"n_{i}"), F.first(f"t_{i}").alias(f"t_{i}")]
     per_run = runs.groupBy(*ids, "run").agg(*aggregates)
-    carry = {i: before_run(ids, f"n_{i}") / F.col(f"t_{i}") for i in range(len(sources))}
+    carry = {i: F.try_divide(before_run(ids, f"n_{i}"), F.col(f"t_{i}")) for i in range(len(sources))}
     shifted = per_run.select(
         *ids, *[F.col(f"{x}_{i}") + (carry[0] - carry[i]) for i in range(1, len(sources)) for x in ("hi", "lo")]
     ).toDF(*ids, *[f"{x}_{i}" for i in range(1, len(sources)) for x in ("hi", "lo")])
@@ -171,7 +171,7 @@ def _real_bounds(real: DataFrame, numeric: list[str]) -> Column:
 
 def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
     """Equal-width bin 0..bins-1 over low..high; outside values go to the edge bins."""
-    raw = F.floor((value - low) / (high - low) * bins)
+    raw = F.floor(F.try_divide(value - low, high - low) * bins)
     clamped = F.least(F.greatest(raw, F.lit(0)), bins - 1)
     return F.when(value.isNotNull(), F.when(high > low, clamped).otherwise(F.lit(0))).cast("int")
 

@@ -35,7 +35,7 @@ def membership_features(rows: DataFrame, synth: DataFrame, k: int = 5) -> DataFr
     """Distances to the k nearest copies plus their mean and minimum, as one array."""
     near = knn_distances(rows, synth, k)
     total = F.aggregate("distances", F.lit(0.0), lambda acc, d: acc + d)
-    summary = F.array(total / F.size("distances"), F.array_min("distances"))
+    summary = F.array(F.try_divide(total, F.size("distances")), F.array_min("distances"))
     return near.withColumn("attack", F.concat("distances", summary)).drop("distances")
 
 

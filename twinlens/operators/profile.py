@@ -65,7 +65,7 @@ def usable_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _role() -> Column:
     """First rule that applies decides; relies on the columns of the profile frame."""
-    unique = F.col("n_distinct") / F.col("n_filled")
+    unique = F.try_divide("n_distinct", "n_filled")
     return (
         F.when(F.col("dt_raw") >= USABLE, "date")
         .when(F.col("audit"), "audit")
@@ -124,7 +124,7 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
         ).otherwise(F.lit(0.0)),
     ).withColumn("role", _role())
     repeats = F.format_string(
-        "repeats ~%.1f rows/value across %d values", F.col("n_filled") / F.col("n_distinct"), F.col("n_distinct")
+        "repeats ~%.1f rows/value across %d values", F.try_divide("n_filled", "n_distinct"), F.col("n_distinct")
     )
     note = (
         F.when(
@@ -134,8 +134,8 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
         .when(F.col("role") == "durable_candidate", repeats)
         .otherwise("")
     )
-    missing = F.when(F.col("n_rows") > 0, 1 - F.col("n_filled") / F.col("n_rows")).otherwise(1.0)
-    unique = F.when(F.col("n_filled") > 0, F.col("n_distinct") / F.col("n_filled")).otherwise(0.0)
+    missing = F.when(F.col("n_rows") > 0, 1 - F.try_divide("n_filled", "n_rows")).otherwise(1.0)
+    unique = F.when(F.col("n_filled") > 0, F.try_divide("n_distinct", "n_filled")).otherwise(0.0)
     return wide.select(
         "column", "position", "dtype", "n_rows", "n_distinct",
         F.round(missing, 4).alias("null_frac"),
@@ -359,7 +359,7 @@ def find_links(tables: Tables, eligible: dict[str, set[str]], min_overlap: float
     cand = per_column.select("column", F.inline(rows)).where(
         F.array_contains("allowed", F.col("column")) & (F.col("d_a") > 0) & (F.col("d_b") > 0)
     )
-    covers_b, covers_a = F.col("both") / F.col("d_b"), F.col("both") / F.col("d_a")
+    covers_b, covers_a = F.try_divide("both", "d_b"), F.try_divide("both", "d_a")
     flipped = F.col("u_b") & ~F.col("u_a")  # the unique side is the parent, else the first table
     cand = cand.where(F.greatest(covers_a, covers_b) >= min_overlap)
     return cand.select(
