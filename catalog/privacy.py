@@ -68,7 +68,7 @@ def _overlay(spark, sf):
 def _mia(spark, sf):
     train, held = customer_split(spark, sf)
     boot = durable(bootstrap_table(train, F.col("c_custkey"), CUSTOMER_ROLES.modelable, seed=9, small=["c_mktsegment"]))
-    return privacy.membership_inference(train, held, boot, CUSTOMER_ROLES, F.col("c_custkey"), trees=50)
+    return privacy.membership_inference(train, held, boot, CUSTOMER_ROLES, F.col("c_custkey"), trees=20)
 
 
 def _exact(spark, sf):
@@ -141,7 +141,7 @@ def _report(spark, sf):
     train, held = customer_split(spark, sf)
     return privacy_report(
         train, held, {"held": held}, ColumnRoles(["c_acctbal"], ["c_mktsegment", "c_nationkey"]), F.col("c_custkey"),
-        table="CUSTOMER", trees=50,
+        table="CUSTOMER", trees=20, depth=5,
     )
 
 

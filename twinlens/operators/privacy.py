@@ -15,7 +15,7 @@ from twinlens.functions.hashing import hash_uniform
 from twinlens.functions.values import as_number, clip
 from twinlens.model import ColumnRoles
 from twinlens.operators.counting import exact_percentiles, text_counts
-from twinlens.operators.encode import fit_encoder
+from twinlens.operators.encode import Encoder, fit_encoder
 from twinlens.operators.knn import knn_distances
 from twinlens.operators.utility import binary_auc
 from twinlens.session import durable
@@ -24,6 +24,7 @@ TOLERANCE = 0.01
 _CELL_SPAN = 10  # coarse cells are this many tolerance bands wide
 _HOT_CELL = 5_000
 MIA_TREES = 200
+MIA_DEPTH = 10
 
 MIA_SCHEMA = "auc double, accuracy double, n_members bigint, n_holdout bigint, note string"
 
@@ -48,11 +49,14 @@ def membership_inference(
     k: int = 5,
     seed: int = 0,
     trees: int = MIA_TREES,
+    depth: int = MIA_DEPTH,
+    encoder: Encoder | None = None,
 ) -> DataFrame:
     """One row ``(auc, accuracy, n_members, n_holdout, note)`` of a trained attacker.
 
     AUC near 0.5 means members and fresh rows lie equally close to the copy.
-    Classes are balanced and split 60/40 by digests of the row key.
+    Classes are balanced and split 60/40 by digests of the row key.  Pass the
+    ``encoder`` fitted on ``train`` when several copies are attacked.
     """
     spark = train.sparkSession
     n_train, n_hold, n_synth = train.count(), holdout.count(), synth.count()
@@ -63,7 +67,7 @@ def membership_inference(
     if not roles.modelable or n_hold < 10 or n_train < 10 or n_synth < 5:
         return skipped("insufficient data or columns for membership inference")
     try:
-        encoder = fit_encoder(train, roles)
+        encoder = encoder or fit_encoder(train, roles)
     except ValueError as error:
         return skipped(str(error))
     n = min(n_train, n_hold)
@@ -75,7 +79,7 @@ def membership_inference(
     rows = durable(membership_features(sides[0].union(sides[1]), base, k))
     rows = rows.select("label", "__key", array_to_vector("attack").alias("attack"))
     test = hash_uniform(F.col("__key"), "attack-split", seed) < 0.4
-    forest = RandomForestClassifier(featuresCol="attack", labelCol="label", numTrees=trees, maxDepth=10, seed=seed)
+    forest = RandomForestClassifier(featuresCol="attack", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
     model = forest.fit(rows.where(~test))
     scored = model.transform(rows.where(test)).select("label", vector_to_array("probability")[1].alias("score"))
     scored = durable(scored)
