@@ -6,23 +6,16 @@ folder under the session's checkpoint directory (or a temporary one without it).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog.base import load, rounded
 from twinlens.operators.roles import detect_sdtypes
+from twinlens.session import new_folder
 from twinlens.sources import tables
 
 
-def _scratch(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base}/twinlens-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="twinlens-io-")
-
-
 def _round_trip(spark, sf):
-    path = f"{_scratch(spark)}/customer.csv"
+    path = f"{new_folder(spark, "io")}/customer.csv"
     tables.write_table(load(spark, sf, "customer"), path)
     found = tables.read_tables(spark, [path])
     return found["CUSTOMER"]
@@ -33,14 +26,14 @@ def _parquet(spark, sf):
 
 
 def _report(spark, sf):
-    path = f"{_scratch(spark)}/report.parquet"
+    path = f"{new_folder(spark, "io")}/report.parquet"
     shares = load(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     tables.write_report(shares, path, "parquet")
     return spark.read.parquet(path)
 
 
 def _summary(spark, sf):
-    path = f"{_scratch(spark)}/summary.json"
+    path = f"{new_folder(spark, "io")}/summary.json"
     status = load(spark, sf, "orders").groupBy("o_orderstatus").agg(
         F.avg("o_totalprice").alias("mean"), F.sum(F.lit(float("nan"))).alias("broken")
     )

@@ -1,8 +1,9 @@
-"""Session defaults and durable cut points."""
+"""Session defaults, durable cut points and input parallelism."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,44 @@ def build_session(cores: str = "*", app: str = "twinlens", shuffle_partitions: i
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only a session that names none, as in local tests, gets a temporary one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="twinlens-")
+    return _LOCAL_FOLDERS[app]
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/twinlens-{label}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+    """Write once to the shared folder and read back.
+
+    Cuts the lineage, so a lost executor never triggers recomputation, and keeps
+    later readers columnar: they still prune columns and push filters down.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a source with fewer splits than cores (one small file).
 
-    Uses the folder of ``spark.checkpoint.dir``.  Only a session that names none
-    (a local test) gets a temporary one.
+    Only for frames that are a plain scan; large sources have more splits than
+    cores and are returned as they are.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="twinlens-"))
-    return df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
