@@ -59,15 +59,22 @@ def ks_complement(
     tagged = tag_sources(real, copies, columns)
     cells = {c: numeric_or_epoch(tagged, c) for c in columns}
     if grid:
-        cells = {c: _grid_cell(real, c, expr, grid) for c, expr in cells.items()}
+        cuts = _quantile_cuts(real, columns, grid)
+        cells = {c: _grid_cell(expr, cuts[c]) for c, expr in cells.items()}
     long = long_cells(tagged, cells, ["source"]).where(F.col("value").isNotNull())
     return ks_from_cells(long, names, ["column"])
 
 
-def _grid_cell(real: DataFrame, column: str, value: Column, grid: int) -> Column:
+def _quantile_cuts(real: DataFrame, columns: list[str], grid: int) -> dict[str, list[float]]:
+    """Inner quantiles per real column: ``grid - 1`` numbers each on the driver."""
     steps = F.lit([i / grid for i in range(1, grid)])
-    cuts = real.agg(F.percentile_approx(numeric_or_epoch(real, column), steps, 10 * grid)).scalar()
-    return F.when(value.isNotNull(), F.size(F.filter(cuts, lambda cut: cut < value)).cast("double"))
+    row = real.agg(*[F.percentile_approx(numeric_or_epoch(real, c), steps, 10 * grid).alias(c) for c in columns]).first()
+    return {c: row[c] or [] for c in columns}
+
+
+def _grid_cell(value: Column, cuts: list[float]) -> Column:
+    below = F.filter(F.lit(cuts).cast("array<double>"), lambda cut: cut < value)
+    return F.when(value.isNotNull(), F.size(below).cast("double"))
 
 
 def ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
@@ -131,6 +138,13 @@ def column_shapes(
     return reduce(DataFrame.union, parts).select("synth", "column", "metric", "score")
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Correlation over complete pairs, NULL for a constant side (``corr`` would fail)."""
+    x = F.when(F.col(b).isNotNull(), F.col(a))
+    y = F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(tagged: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair: ``(source, column_1, column_2, rho)``.
 
@@ -142,7 +156,7 @@ def correlations(tagged: DataFrame, columns: list[str]) -> DataFrame:
     parts = []
     for start in range(0, len(pairs), _PAIRS_PER_PASS):
         chunk = pairs[start : start + _PAIRS_PER_PASS]
-        wide = numbers.groupBy("source").agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
+        wide = numbers.groupBy("source").agg(*[_pearson(a, b).alias(f"p{i}") for i, (a, b) in enumerate(chunk)])
         rows = [
             F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"p{i}").alias("rho"))
             for i, (a, b) in enumerate(chunk)

@@ -10,7 +10,7 @@ from twinlens.model import ColumnRoles
 from twinlens.operators.counting import text_counts
 
 SMALL_LIMIT = 1000
-_DIGITS = 3  # 4096 index buckets; use 4 or 5 for tables beyond ~10^10 rows
+_DIGITS = 4  # 65,536 index buckets: 15 million rows each for 10^12 rows
 
 
 def index_rows(df: DataFrame, key: Column, columns: list[str], digits: int = _DIGITS) -> DataFrame:
