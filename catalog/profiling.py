@@ -85,6 +85,14 @@ def _dataset(spark, sf):
     return found["recommendation"]
 
 
+def _strategy(spark, sf):
+    return _dataset(spark, sf).select("tier", "strategy")
+
+
+def _dataset_links(spark, sf):
+    return profile_dataset(keyed_tables(spark, sf))["links"].where("parent_column = 'custkey'")
+
+
 def _roles(spark, sf):
     return stack_tables({t: classify_frame(load(spark, sf, t)) for t in (*PROFILED, "lineitem", "embeddings")})
 
@@ -102,7 +110,9 @@ QUERIES = {
     "p06_contiguity": _contiguity,
     "p07_top_durable_keys": _table,
     "p08_find_links": _links,
+    "p09_recommend_strategy": _strategy,
     "p10_profile_dataset": _dataset,
+    "p10_dataset_links": _dataset_links,
     "p11_classify_columns": _roles,
     "p11_classify_with_types": _typed_roles,
     "p13_shared_keys": lambda spark, sf: profile.shared_keys(keyed_tables(spark, sf)),
@@ -260,6 +270,20 @@ SQL = {
         "WHERE p.role = 'durable_candidate' QUALIFY row_number() OVER (PARTITION BY c.\"table\" ORDER BY c.score DESC, c.\"column\") <= 5"
     ),
     "p08_find_links": _links_sql(),
+    # orders and events carry usable dates and customer has the unique key
+    "p09_recommend_strategy": (
+        "SELECT CASE WHEN versioned THEN 2 WHEN linked THEN 1 ELSE 0 END AS tier, CASE WHEN versioned THEN 'sequential' WHEN linked THEN 'relational' "
+        "ELSE 'independent' END AS strategy FROM (SELECT (SELECT max(score) >= 0.5 FROM ("
+        + " UNION ALL ".join(
+            _durable_sql(t, c, {"orders": "o_orderdate", "events": "ts"}.get(t))
+            for t, c in (("orders", "o_custkey"), ("events", "user_id"), ("events", "event_type"), ("orders", "o_orderpriority"),
+                         ("orders", "o_orderstatus"), ("customer", "c_nationkey"), ("customer", "c_mktsegment"))
+        )
+        + ")) AS versioned, (SELECT coalesce(max(overlap_frac), 0) >= 0.5 FROM ("
+        + _links_sql()
+        + ") WHERE parent_is_unique) AS linked)"
+    ),
+    "p10_dataset_links": _links_sql(),
     "p11_classify_columns": _roles_sql(),
     "p11_classify_with_types": _typed_roles_sql(),
     "p13_shared_keys": " UNION ALL ".join(

@@ -94,6 +94,17 @@ def _tstr_regression(spark, sf):
     return rounded(utility.tstr(train, held, {"held": held}, LINE_ROLES, "l_extendedprice", "regression", "LINEITEM"))
 
 
+def _tstr_line(spark, sf):
+    """One feature, so that the fitted line has a closed form."""
+    from twinlens.model import ColumnRoles
+
+    train, held = lineitem_split(spark, sf)
+    roles = ColumnRoles(["l_quantity", "l_extendedprice"], [])
+    copies = {"cheap": train.where("l_discount < 0.05")}
+    frame = utility.tstr(train, held, copies, roles, "l_extendedprice", "regression", "LINEITEM")
+    return rounded(frame.select("metric", "train_on", "score"), 5)
+
+
 def _tstr_full(spark, sf):
     from twinlens.model import ColumnRoles
 
@@ -109,6 +120,7 @@ QUERIES = {
     "u05_cap_training_rows": _cap_rows,
     "u06_tstr": _tstr,
     "u06_tstr_regression": _tstr_regression,
+    "u06_tstr_line": _tstr_line,
     "u07_classification_scores": _classification,
     "u08_regression_scores": _regression,
     "u09_binary_auc": _auc,
@@ -154,6 +166,17 @@ SQL = {
         "CASE WHEN o_orderpriority IN (SELECT o_orderpriority FROM tr) THEN o_orderpriority ELSE md.p END AS o_orderpriority FROM held, md"
     ),
     "u05_cap_training_rows": f"SELECT o_orderkey FROM orders ORDER BY {uniform_sql('o_orderkey', 'train-cap', 0)}, o_orderkey LIMIT 500",
+    "u06_tstr_line": (
+        f"WITH {LINE_SPLIT_SQL}, cheap AS (SELECT * FROM train WHERE l_discount < 0.05), "
+        + ", ".join(
+            f"m_{s} AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM {s}), "
+            f"s_{s} AS (SELECT 1 - sum((l_extendedprice - a - b * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*)) AS score FROM held, m_{s})"
+            for s in ("train", "cheap")
+        )
+        + " SELECT 'LinearRegression (R2)' AS metric, 'real' AS train_on, round(score, 5) AS score FROM s_train "
+        "UNION ALL SELECT 'LinearRegression (R2)', 'cheap', round(score, 5) FROM s_cheap "
+        "UNION ALL SELECT 'LinearRegression (R2)', 'gap(real-cheap)', round(s_train.score - s_cheap.score, 5) FROM s_train, s_cheap"
+    ),
     "u07_classification_scores": (
         f"WITH p AS (SELECT o_orderstatus AS l, {_GUESS} AS g FROM orders), c AS (SELECT DISTINCT l AS c FROM p UNION SELECT DISTINCT g FROM p), "
         "t AS (SELECT c, (SELECT count(*) FROM p WHERE l = c AND g = c)::DOUBLE AS tp, (SELECT count(*) FROM p WHERE l = c)::DOUBLE AS nl, (SELECT count(*) FROM p WHERE g = c)::DOUBLE AS np FROM c), "
