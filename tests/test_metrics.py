@@ -317,3 +317,15 @@ def test_summary_arithmetic(spark):
     assert rows["b"]["overall"] is None
     board = score.leaderboard(score.compute_summary(quality, metrics, efficacy, shape)).collect()
     assert [r["synthesizer"] for r in board] == ["a", "b"]
+
+
+def test_long_categories_stay_whole(spark):
+    long = "x" * 100
+    df = spark.range(60).select("id", F.when(F.col("id") % 2 == 0, long).otherwise("y").alias("c"), (F.col("id") % 2).cast("double").alias("n"))
+    assert encode.fit_encoder(df, ColumnRoles([], ["c"])).categories["c"] == [long, "y"]
+    from twinlens.operators.refill import bootstrap_table
+
+    copy = bootstrap_table(df, F.col("id"), ["c"], small=["c"])
+    assert {r["c"] for r in copy.collect()} == {long, "y"}
+    frame = utility.tstr(df, df, {}, ColumnRoles(["n"], ["c"]), "c", "classification", max_depth=2)
+    assert {r["score"] for r in frame.collect()} == {1.0}

@@ -8,10 +8,13 @@ shuffle, so hot values cannot create hot partitions downstream.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from twinlens.model import is_integer
 from twinlens.functions.values import numeric_or_epoch, text_key
 from twinlens.session import durable
 
@@ -23,10 +26,28 @@ def long_cells(df: DataFrame, cells: dict[str, Column], ids: Iterable[str] = ())
     return wide.unpivot(ids, list(cells), "column", "value")
 
 
-def text_counts(df: DataFrame, columns: Iterable[str], ids: Iterable[str] = ()) -> DataFrame:
-    """``(*ids, column, value: string, n)``; NULL is kept as a value."""
-    cells = long_cells(df, {c: text_key(df, c) for c in columns}, ids)
-    return cells.groupBy(*ids, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _count_cells(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    counted = long_cells(df, cells).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("column", F.col("value").cast("string").alias("value"), "n")
+
+
+def text_counts(df: DataFrame, columns: Iterable[str], digest: bool = True) -> DataFrame:
+    """``(column, value: string, n)``; NULL is kept as a value.
+
+    Long texts appear as digests unless ``digest`` is off, which callers need
+    that use the values themselves and not only their counts.
+    Numbers are counted as numbers and spelled out once per distinct value, which
+    is far cheaper than turning every cell into text first.
+    """
+    whole, real, text = {}, {}, {}
+    for c in columns:
+        if is_integer(df, c):
+            whole[c] = F.col(c).cast("bigint")
+        elif isinstance(df.schema[c].dataType, T.DoubleType):
+            real[c] = F.col(c)
+        else:
+            text[c] = text_key(df, c) if digest else F.col(c).cast("string")
+    return reduce(DataFrame.union, [_count_cells(df, cells) for cells in (whole, real, text) if cells])
 
 
 def number_counts(df: DataFrame, columns: Iterable[str], ids: Iterable[str] = ()) -> DataFrame:

@@ -71,7 +71,7 @@ def _frequency_steps(real: DataFrame, columns: list[str]) -> dict[str, list[tupl
     One counting pass for all columns.  The driver receives at most
     ``SMALL_LIMIT`` values per column; wider columns are left out.
     """
-    counts = text_counts(real.select(*[F.col(c).cast("string") for c in columns]), columns)
+    counts = text_counts(real, columns, digest=False)
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("__size"))
     fitting = sizes.where(F.col("__size") <= SMALL_LIMIT).select("column")
     rows = counts.join(F.broadcast(fitting), "column").select("column", "value", "n").collect()

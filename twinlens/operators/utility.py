@@ -108,7 +108,7 @@ def align_categories(train: DataFrame, test: DataFrame, columns: list[str]) -> t
     test = test.withColumns({c: _labelled(c) for c in columns}) if columns else test
     if not columns:
         return train, test, 0
-    counts = text_counts(train.select(*columns), columns)
+    counts = text_counts(train, columns, digest=False)
     modes = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
     mode = {r["column"]: r["mode"] for r in modes.collect()}
     flags = []
@@ -228,7 +228,7 @@ class Fitted:
 
 
 def _classes(train: DataFrame, target: str) -> list[str]:
-    rows = text_counts(train.select(F.col(target).cast("string")), [target]).where(F.col("value").isNotNull())
+    rows = text_counts(train, [target], digest=False).where(F.col("value").isNotNull())
     found = sorted(r["value"] for r in rows.limit(1001).collect())
     if len(found) > 1000:
         raise ValueError(f"target '{target}' has too many classes")
