@@ -28,7 +28,7 @@ WORDS_SQL = f"regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 JACCARD_CTES = f"""
 w AS (SELECT doc_id, {WORDS_SQL} AS w FROM {{source}}),
 sh AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> w[i:i+4])
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i+4])
                                       WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM w),
 n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sh USING (doc_id) GROUP BY w.doc_id),
 ids AS (SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM sh),
