@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlens.llm import jaccard
+from twinlens.llm import decontaminate, jaccard, packing, quality_knn, quality_rules, repair, secrets, toxicity
+from twinlens.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,53 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"op1_jaccard_join": op1_jaccard_join}
+def tokenizer(name: str) -> str:
+    """A public vocabulary file; installed on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(documents(spark, sf_dir))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    repair.write_token_files(documents(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"))
+    return repair.read_documents(spark, folder)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
+    "op5_token_files": op5_token_files,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_knn": op9_quality_knn,
+    "op10_toxicity": op10_toxicity,
+}
 
 # Lower-case A-Z only, then split at the white space of the word definition.
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
