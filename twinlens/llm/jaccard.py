@@ -41,8 +41,6 @@ from twinlens.session import durable
 
 BROADCAST_ROWS = 1_000_000  # 8 MB of ids; above it the join shuffles
 KEYS_PER_FLUSH = 1 << 20
-HOT_IN_FLUSH = 48  # classes that share a signature within one flush: their rows are salted
-CHUNK = 2048  # members of a group in one row
 
 _LANE = stream(6, 5) | np.uint64(1)
 
@@ -55,6 +53,8 @@ class JaccardParams:
     share: float = 0.32
     spare: int = 6
     small: int = 64  #: bands up to this size have one segment per element
+    hot: int = 48  #: classes of one flush that share a signature: their rows are salted
+    chunk: int = 2048  #: members of a group in one row
 
 
 def bands(params: JaccardParams, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +202,9 @@ PLAIN, SALTED, MARK, DELETION = 0, 1, 2, 3
 class _Flush:
     """Signatures gathered by a task and dealt into buckets as a few binary rows."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, most: int):
         self.buckets = buckets
+        self.most = most
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -221,13 +222,13 @@ class _Flush:
         group = np.cumsum(opens) - 1
         count = np.bincount(group)
         hot = np.zeros(len(key), bool)
-        hot[order] = count[group] >= HOT_IN_FLUSH
+        hot[order] = count[group] >= self.most
         bucket = ((key >> np.uint64(16)) % np.uint64(self.buckets)).astype(np.int64)
         yield from self._emit(PLAIN, bucket[~hot], ids[~hot], band[~hot], slack[~hot], key[~hot])
         if hot.any():
             salt = bucket[hot] + (mix(ids[hot].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
             yield from self._emit(SALTED, salt % self.buckets, ids[hot], band[hot], slack[hot], key[hot])
-            marks = order[np.flatnonzero(opens)[count >= HOT_IN_FLUSH]]
+            marks = order[np.flatnonzero(opens)[count >= self.most]]
             yield from self._emit(MARK, bucket[marks], ids[marks], band[marks], slack[marks], key[marks])
 
     def _emit(self, kind: int, bucket, ids, band, slack, key) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def _signatures(
 ) -> Iterator[pa.RecordBatch]:
     """Signatures of all classes: (class, band, spare quota, key), packed by bucket."""
     hi, many = bands(params, bound)
-    flush = _Flush(buckets)
+    flush = _Flush(buckets, params.hot)
     for batch in batches:
         for part in slices(batch):
             elements, sizes = shingle_sets(part.column("text"), params.words)
@@ -278,7 +279,7 @@ def _signatures(
 _GROUP_SCHEMA = "gid long, band int, n long, whole boolean, members array<struct<class:long,slack:int>>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Signature groups of two classes or more in each bucket; equal member lists are one row with their number."""
     buckets: dict[int, list] = {}
     for batch in batches:
@@ -295,15 +296,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         home = kind != SALTED
         marked = np.unique(key[kind == MARK])
-        yield from _grouped(ids[~home], band[~home], slack[~home], key[~home], None)
+        yield from _grouped(ids[~home], band[~home], slack[~home], key[~home], None, chunk)
         home &= kind != MARK
         hot = np.isin(key, marked) & home
-        yield from _grouped(ids[hot], band[hot], slack[hot], key[hot], None)
+        yield from _grouped(ids[hot], band[hot], slack[hot], key[hot], None, chunk)
         cold = home & ~hot
-        yield from _grouped(ids[cold], band[cold], slack[cold], key[cold], 2)
+        yield from _grouped(ids[cold], band[cold], slack[cold], key[cold], 2, chunk)
 
 
-def _grouped(ids, band, slack, key, least: int | None) -> Iterator[pa.RecordBatch]:
+def _grouped(ids, band, slack, key, least: int | None, chunk: int) -> Iterator[pa.RecordBatch]:
     """``least`` None: parts of hot groups, told apart by the key; else whole groups of ``least`` classes or more."""
     if not len(key):
         return
@@ -335,11 +336,11 @@ def _grouped(ids, band, slack, key, least: int | None) -> Iterator[pa.RecordBatc
     if not len(start):
         return
     # long lists are cut into rows of bounded size
-    pieces = -(-size // CHUNK)
+    pieces = -(-size // chunk)
     source = np.repeat(np.arange(len(start)), pieces)
-    offset = ragged(np.zeros(len(start), np.int64), pieces) * CHUNK
+    offset = ragged(np.zeros(len(start), np.int64), pieces) * chunk
     begin = start[source] + offset
-    length = np.minimum(size[source] - offset, CHUNK)
+    length = np.minimum(size[source] - offset, chunk)
     at = ragged(begin, length)
     members = pa.ListArray.from_arrays(
         pa.array(np.append(0, np.cumsum(length)).astype(np.int32)),
@@ -452,21 +453,20 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(left.drop("m"), "a").join(right.drop("n"), "b").mapInArrow(_linked, "a long, b long")
 
 
-def _chosen(groups: DataFrame) -> DataFrame:
+def _chosen(groups: DataFrame, chunk: int) -> DataFrame:
     """Cost-based allocation: (gid, class, chosen) of the groups that can hold linked pairs."""
-    whole = groups.where("whole").groupBy("gid", "band").agg(
-        F.sum("n").alias("n"), F.max(F.struct(F.size("members"), "members")).alias("m"),
-        F.max(F.size("members")).alias("longest"),
-    )
-    # a list cut into rows is kept row by row under the same id
-    long = groups.where(F.col("whole") & (F.size("members") == CHUNK)).select("gid").distinct()
-    short = whole.where(F.col("longest") < CHUNK).select("gid", "band", "n", F.explode("m.members").alias("x"))
-    rest = groups.where(~F.col("whole")).unionByName(groups.where("whole").join(long, "gid", "left_semi"))
-    members = short.unionByName(rest.select("gid", "band", "n", F.explode("members").alias("x")))
-    members = (
-        members.groupBy("gid", "band", F.col("x.class").alias("class"), F.col("x.slack").alias("slack"))
-        .agg(F.max("n").alias("n"))
-    )
+    listed = groups.where("whole").withColumn("long", F.size("members") >= chunk)
+    # a list that fits one row is the same row in every bucket; parts of longer ones are told apart by their classes
+    once = listed.groupBy("gid", "band").agg(F.sum("n").alias("n"), F.first("members").alias("members"), F.max("long").alias("long"))
+    short = once.where("NOT long").select("gid", "band", "n", F.explode("members").alias("x"))
+    parts = groups.where("whole").join(once.where("long").select("gid", "band"), ["gid", "band"], "left_semi")
+
+    def classes(rows: DataFrame, number) -> DataFrame:
+        rows = rows.select("gid", "band", "n", F.explode("members").alias("x"))
+        return rows.groupBy("gid", "band", F.col("x.class").alias("class"), F.col("x.slack").alias("slack")).agg(number.alias("n"))
+
+    members = short.select("gid", "band", "x.class", "x.slack", "n")
+    members = members.unionByName(classes(parts, F.sum("n"))).unionByName(classes(groups.where("NOT whole"), F.max("n")))
     members = durable(members)
     sizes = members.groupBy("gid", "band").agg(F.count("*").alias("size"))
     members = members.join(sizes.where("size > 1"), ["gid", "band"])
@@ -552,8 +552,8 @@ def class_links(docs: DataFrame, params: JaccardParams | None = None) -> tuple[D
     buckets = max(shuffles, -(-int(facts[0] or 0) // 3_000_000))
     work = partial(_signatures, params=params, seed=seed, bound=bound, buckets=buckets)
     packed = docs.select("text").mapInArrow(work, _ROW_SCHEMA)
-    groups = durable(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_groups, _GROUP_SCHEMA))
-    member = _chosen(groups)
+    groups = durable(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(partial(_groups, chunk=params.chunk), _GROUP_SCHEMA))
+    member = _chosen(groups, params.chunk)
 
     extra = None
     if facts[2]:
