@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlens.llm import decontaminate, jaccard, packing, quality_knn, quality_rules, repair, secrets, toxicity
+from twinlens.llm import decontaminate, jaccard, licences, packing, pitman_yor, quality_knn, quality_rules, repair, secrets, toxicity
 from twinlens.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,20 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     repair.write_token_files(documents(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"))
     return repair.read_documents(spark, folder)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -61,7 +69,9 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
+    "op4_licences": op4_licences,
     "op5_token_files": op5_token_files,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_knn": op9_quality_knn,
