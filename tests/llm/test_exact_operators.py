@@ -54,7 +54,7 @@ def test_jaccard_equals_brute_force(spark, params):
     assert joined(jaccard.near_duplicates(docs, params)) == components(rows)
 
 
-@pytest.mark.parametrize("params", [JaccardParams(hot=4, chunk=5), JaccardParams(chunk=5)], ids=["salted", "long lists"])
+@pytest.mark.parametrize("params", [JaccardParams(hot=4, chunk=5), JaccardParams(chunk=5), JaccardParams(pairwise=3, block=4), JaccardParams(pairwise=2, block=99)], ids=["salted", "long lists", "blocks", "one block"])
 def test_jaccard_hot_group(spark, params):
     """One group of near copies, cut into salted parts and rows of a few members."""
     rng = random.Random(1)

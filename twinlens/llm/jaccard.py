@@ -17,9 +17,11 @@ difference is at most ``(|A| + |B|) / 9``. The method:
   element there. Bands that hold such sets are indexed with deletions as well, and
   the cheapest segments get the second unit. If even that is too little, the set's
   single elements serve as segments.
-* Candidates are verified exactly. Members of a signature group are compared with
-  a few hubs, then with more hubs, and only where their components still differ:
-  copies never expand into all pairs, and no link between components is lost.
+* Candidates are verified exactly. First each class meets the hub it shares most
+  signatures with. Groups that still hold several components are then settled: small
+  ones pair by pair; large ones, merged where they overlap, block by block against
+  all members outside the largest component. Blocks yield a spanning forest of their
+  links, never pairs: copies do not expand, and no link between components is lost.
 
 Rows: NULL or wordless texts have an empty set and link with nothing; equal
 ``doc_id`` rows are one document with its largest set; other columns are ignored.
@@ -40,7 +42,7 @@ from twinlens.llm.text import mix, ragged, slices, stream, words_of
 from twinlens.session import durable
 
 BROADCAST_ROWS = 1_000_000  # 8 MB of ids; above it the join shuffles
-KEYS_PER_FLUSH = 1 << 20
+KEYS_PER_FLUSH = 1 << 19
 
 _LANE = stream(6, 5) | np.uint64(1)
 
@@ -55,6 +57,8 @@ class JaccardParams:
     small: int = 64  #: bands up to this size have one segment per element
     hot: int = 48  #: classes of one flush that share a signature: their rows are salted
     chunk: int = 2048  #: members of a group in one row
+    pairwise: int = 64  #: groups up to this size are compared pair by pair, larger ones block by block
+    block: int = 512  #: sets in a block
 
 
 def bands(params: JaccardParams, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -527,6 +531,65 @@ def _element_pairs(docs: DataFrame, classes: DataFrame, params: JaccardParams, s
     return near.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
+def _forest(table: pa.Table) -> pa.Table:
+    """Spanning forest of the links between the two blocks (or inside the one block) of a group."""
+    side = np.array(table.column("side").to_pylist())
+    ids = table.column("class").to_numpy()
+    blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+    size = np.array([len(x) for x in blobs])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+    elements = np.concatenate([blobs[k] for k in right])
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(elements)
+    elements, owner = elements[order], owner[order]
+    top = list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    found = []
+    for k in left.tolist():
+        low = np.searchsorted(elements, blobs[k], side="left")
+        high = np.searchsorted(elements, blobs[k], side="right")
+        shared = np.bincount(owner[ragged(low, high - low)], minlength=len(right))
+        for j in right[9 * shared >= 4 * (size[k] + size[right])].tolist():
+            x, y = find(k), find(j)
+            if x != y:
+                top[x] = y
+                found.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+
+def _settle(spark: SparkSession, member: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """Links inside the large groups ``member`` (gid, band, class, root) that join components."""
+    hub = member.groupBy("gid", "band").agg(F.min("class").alias("b"))
+    near = member.join(hub, ["gid", "band"]).select(F.col("class").alias("a"), "b").where("a <> b").distinct()
+    pool = connected(spark, near).select(F.col("node").alias("class"), F.col("root").alias("pool"))
+    member = durable(member.select("class", "root").distinct().join(pool, "class"))
+    count = member.groupBy("pool", "root").agg(F.count("*").alias("n"))
+    facts = count.groupBy("pool").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all"))
+    member = member.join(facts, "pool").withColumn("rest", F.col("root") != F.col("main"))
+    size = F.when(F.col("rest"), F.col("all") - F.col("inner")).otherwise(F.col("inner"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / params.block)))
+    # blocks of the rest meet each other once, and every block of the main component
+    outer = F.ceil((F.col("all") - F.col("inner")) / params.block)
+    rest, main = member.where("rest"), member.where("NOT rest")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("other")
+    one = rest.select("class", "pool", "block", every).select(
+        "class", "pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(False).alias("with_main"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"),
+    )
+    inner = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("inner") / params.block) - 1)).alias("j")
+    two = rest.select("class", "pool", F.col("block").alias("i"), inner).selectExpr("class", "pool", "i", "j", "true AS with_main", "0 AS side")
+    three = main.select("class", "pool", every, "block").selectExpr("class", "pool", "other AS i", "block AS j", "true AS with_main", "1 AS side")
+    dealt = one.unionByName(two).unionByName(three).join(sets.select("class", "elements"), "class")
+    return dealt.groupBy("pool", "i", "j", "with_main").applyInArrow(_forest, "a long, b long")
+
+
 def _pairs(frame: DataFrame) -> DataFrame:
     return frame.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -580,25 +643,16 @@ def class_links(docs: DataFrame, params: JaccardParams | None = None) -> tuple[D
     tested = first.distinct() if extra is None else first.union(extra).distinct()
     tested = durable(tested)
     links = durable(_verify(tested, sets))
-    hubs = 1
-    while True:
-        root = connected(spark, links).withColumnRenamed("node", "class")
-        named = member.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = named.groupBy("gid", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        member = durable(named.drop("root").join(mixed.where("least < most").select("gid", "band"), ["gid", "band"]))
-        if member.isEmpty():
-            return classes, links
-        named = member.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        hubs *= 4
-        share = F.pmod(F.xxhash64("gid", "class"), F.lit(1 << 20)) * F.col("size") < F.lit(hubs << 20)
-        lead = named.where(share).select("gid", "band", F.col("class").alias("y"), F.col("root").alias("other"), F.col("chosen").alias("also"))
-        more = named.select("gid", "band", F.col("class").alias("x"), "root", "chosen").join(lead, ["gid", "band"])
-        more = _pairs(more.where("root <> other AND (chosen OR also)")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = durable(more)
-        links = durable(links.union(_verify(more, sets)))
-        tested = durable(tested.union(more))
-        if member.where(F.col("size") > hubs).isEmpty():
-            return classes, links
+    root = connected(spark, links).withColumnRenamed("node", "class")
+    named = member.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = named.groupBy("gid", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    named = durable(named.join(mixed.where("least < most").select("gid", "band"), ["gid", "band"]))
+    few = named.where(F.col("size") <= params.pairwise).select("gid", "band", F.col("class").alias("x"), "root", "chosen")
+    other = few.select("gid", "band", F.col("x").alias("y"), F.col("root").alias("apart"), F.col("chosen").alias("also"))
+    pairs = few.join(other, ["gid", "band"]).where("x < y AND root <> apart AND (chosen OR also)")
+    pairs = durable(_pairs(pairs).distinct().join(tested, ["a", "b"], "left_anti"))
+    links = links.union(_verify(pairs, sets)).union(_settle(spark, named.where(F.col("size") > params.pairwise), sets, params))
+    return classes, durable(links)
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:

@@ -32,10 +32,10 @@ from twinlens.session import durable
 
 PER_CLASS = 4000
 LEXICON = 300  # words or stems at most
-STEM = 5  # bytes of a stem
+STEMS = (6, 8)  # bytes of a stem
 NEAR = 4  # words
 TREES, DEPTH = 20, 3
-FEATURES = ("words", "stems", "known_words", "near_you", "capitals", "marks", "shouts", "obfuscated", "length", "hits")
+FEATURES = ("words", "stems", "long_stems", "known_words", "near_you", "capitals", "marks", "shouts", "obfuscated", "length", "hits")
 
 # Second-person pronouns of the corpus languages.
 SECOND_PERSON = (
@@ -57,14 +57,15 @@ def _letters_only(w) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def _hashes(w) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each bare word and of its stem (0 for words no longer than a stem)."""
+def _hashes(w) -> list[np.ndarray]:
+    """Hash of each bare word and of its stems (0 for words no longer than a stem)."""
     if not len(w.start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * (1 + len(STEMS))
     start, end = _letters_only(w)
-    word = span_hash(w.data, start, end, True)
-    stem = span_hash(w.data, start, np.minimum(end, start + STEM), True)
-    return word, np.where(end - start > STEM, stem, 0)
+    out = [span_hash(w.data, start, end, True)]
+    for size in STEMS:
+        out.append(np.where(end - start > size, span_hash(w.data, start, np.minimum(end, start + size), True), 0))
+    return out
 
 
 def _hash_text(words: tuple[str, ...]) -> np.ndarray:
@@ -72,7 +73,7 @@ def _hash_text(words: tuple[str, ...]) -> np.ndarray:
 
 
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words (kind 0) and stems (kind 1) of each sampled text."""
+    """Distinct words (kind 0) and stems (kind 1, 2) of each sampled text."""
     for batch in batches:
         for part in slices(batch):
             w = words_of(part.column("text"))
@@ -86,7 +87,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-def lexicons(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def lexicons(sample: DataFrame) -> list[np.ndarray]:
     """Hashes of the words and of the stems that mark toxic texts of the sample."""
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -95,13 +96,13 @@ def lexicons(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     lift = F.log((F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1)))
     strong = counted.where(F.col("a") >= 3).withColumn("lift", lift).where(F.col("lift") > math.log(4))
     out = []
-    for kind in (0, 1):
+    for kind in range(1 + len(STEMS)):
         best = strong.where(F.col("kind") == kind).orderBy(F.desc(F.col("lift") * F.sqrt("a")), "term").limit(LEXICON)
         out.append(np.sort(np.array([r.term for r in best.collect()], np.int64).view(np.uint64)))
-    return out[0], out[1]
+    return out
 
 
-def dense_features(column: pa.Array, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+def dense_features(column: pa.Array, known: list[np.ndarray]) -> np.ndarray:
     """texts x len(FEATURES)."""
     w = words_of(column)
     n = w.texts
@@ -109,8 +110,10 @@ def dense_features(column: pa.Array, words: np.ndarray, stems: np.ndarray) -> np
     if not len(w.start):
         return out
     doc = w.doc
-    bare, stem = _hashes(w)
-    hit, stem_hit = np.isin(bare, words), np.isin(stem, stems)
+    bare, *stems = _hashes(w)
+    hit = np.isin(bare, known[0])
+    stem_hits = [np.isin(h, names) for h, names in zip(stems, known[1:], strict=True)]
+    any_hit = np.logical_or.reduce([hit, *stem_hits])
     you = np.isin(bare, _hash_text(SECOND_PERSON))
     total = np.maximum(w.counts, 1)
 
@@ -138,23 +141,26 @@ def dense_features(column: pa.Array, words: np.ndarray, stems: np.ndarray) -> np
     start, end = _letters_only(w)
     mixed = (odd[end] - odd[start] > 0) & (odd[end] - odd[start] < end - start)
     hits = per_text(hit)
-    out[:, 0] = hits / total
-    out[:, 1] = per_text(stem_hit) / total
-    out[:, 2] = per_text(hit | stem_hit) / np.sqrt(total)
-    out[:, 3] = per_text((hit | stem_hit) & close) / total
-    out[:, 4] = share(1)
-    out[:, 5] = share(2, 3)
-    out[:, 6] = share(3)
-    out[:, 7] = per_text(mixed) / total
-    out[:, 8] = np.log1p(w.counts)
-    out[:, 9] = np.minimum(hits, 10)
+    columns = [
+        hits / total,
+        *(per_text(h) / total for h in stem_hits),
+        per_text(any_hit) / np.sqrt(total),
+        per_text(any_hit & close) / total,
+        share(1),
+        share(2, 3),
+        share(3),
+        per_text(mixed) / total,
+        np.log1p(w.counts),
+        np.minimum(hits, 10),
+    ]
+    out[:] = np.stack(columns, 1)
     return out
 
 
-def _featured(batches: Iterator[pa.RecordBatch], words: np.ndarray, stems: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            values = dense_features(part.column("text"), words, stems)
+            values = dense_features(part.column("text"), known)
             offsets = np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield part.remove_column(part.schema.get_field_index("text")).append_column("values", lists)
@@ -172,8 +178,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not mixed:
         share = seen.get(1, 0.0) / sum(seen.values()) if seen else 0.5
         return rows.select("doc_id", held, F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    words, stems = lexicons(parts[0])
-    work = partial(_featured, words=words, stems=stems)
+    work = partial(_featured, known=lexicons(parts[0]))
     known = sample.select("text", "y", "weight", "third").mapInArrow(
         work, "y int, weight double, third long, values array<double>"
     )
