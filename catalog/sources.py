@@ -21,6 +21,19 @@ def _round_trip(spark, sf):
     return found["CUSTOMER"]
 
 
+def _text_round_trip(spark, sf):
+    """Long texts with line breaks, quotes and commas survive the CSV sink and reader."""
+    path = f"{new_folder(spark, "io")}/documents.csv"
+    tables.write_table(load(spark, sf, "documents"), path)
+    return tables.read_tables(spark, [path])["DOCUMENTS"]
+
+
+def _report_csv(spark, sf):
+    path = f"{new_folder(spark, "io")}/parts.csv"
+    tables.write_table(load(spark, sf, "part"), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select("p_partkey", "p_name")
+
+
 def _parquet(spark, sf):
     return tables.read_tables(spark, [f"{sf}/supplier.parquet"], views=True)["SUPPLIER"]
 
@@ -51,7 +64,7 @@ def _overview(spark, sf):
 
 
 def _preview(spark, sf):
-    return tables.table_preview(load(spark, sf, "orders").drop("o_orderdate"), ["o_orderkey"])
+    return tables.table_preview(load(spark, sf, "orders"), ["o_orderkey"])
 
 
 def _sdtypes(spark, sf):
@@ -60,7 +73,9 @@ def _sdtypes(spark, sf):
 
 QUERIES = {
     "io01_read_csv": _round_trip,
+    "io01_read_csv_text": _text_round_trip,
     "io01_read_parquet": _parquet,
+    "io02_write_csv": _report_csv,
     "io03_write_report": _report,
     "io04_write_summary": _summary,
     "io05_table_overview": _overview,
@@ -115,13 +130,15 @@ def _overview_sql() -> str:
 
 SQL = {
     "io01_read_csv": "SELECT * REPLACE (c_custkey::BIGINT AS c_custkey, c_nationkey::BIGINT AS c_nationkey) FROM customer",
+    "io01_read_csv_text": "SELECT doc_id, text, lang, source, n_chars::BIGINT AS n_chars FROM documents",
     "io01_read_parquet": "SELECT * FROM supplier",
+    "io02_write_csv": "SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part",
     "io03_write_report": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "io04_write_summary": "SELECT o_orderstatus, round(avg(o_totalprice), 6) AS mean, NULL::DOUBLE AS broken FROM orders GROUP BY 1",
     "io05_table_overview": _overview_sql(),
     "io05_table_preview": (
         "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, "
-        "o_totalprice::VARCHAR AS o_totalprice, o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 5"
+        "o_totalprice::VARCHAR AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 5"
     ),
     "io06_detect_sdtypes": _sdtypes_sql(),
 }

@@ -204,11 +204,11 @@ def _validate_sql() -> str:
         rows.append(
             f"SELECT '{r.label}' AS label, CASE WHEN {dup} THEN 'FAIL' WHEN {cov} >= 0.99 THEN 'PASS' "
             f"WHEN {cov} >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS status, CASE WHEN {dup} THEN "
-            f"'parent key {r.parent_table}.{r.parent_key} is not unique' ELSE "
-            f"printf('%.1f', {cov} * 100) || '% of child rows match a parent key' END AS detail"
+            f"'{r.parent_table}.{r.parent_key} repeats' ELSE "
+            f"printf('%.1f', {cov} * 100) || '% of child keys found' END AS detail"
         )
     rows.append(f"SELECT '{ABSENT.label}', 'FAIL', 'table or column not found'")
-    rows.append("SELECT 'hub o_custkey → ORDERS', 'PASS', count(DISTINCT o_custkey) || ' distinct entities' FROM shifted")
+    rows.append("SELECT 'hub o_custkey → ORDERS', 'PASS', count(DISTINCT o_custkey) || ' entities' FROM shifted")
     return f"WITH {_COPIES} " + " UNION ALL ".join(rows)
 
 

@@ -53,6 +53,81 @@ def test_hierarchy_keeps_foreign_keys(spark):
     assert structure.cardinality_shape([rel], real, {"s": made}).first()["score"] > 0.85
 
 
+def family_tables(spark):
+    """20,000 parents, one of them with half of all children."""
+    parents = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    child = spark.range(40_000).select(
+        F.col("id").alias("c"), F.when(F.col("id") < 20_000, F.lit(5)).otherwise(F.col("id") - 20_000).alias("fk"),
+        F.rand(1).alias("low"), (F.rand(1) + F.rand(2)).alias("high"), (F.col("id") % 50).alias("other"),
+    )
+    second = spark.range(60).select(F.col("id").alias("o"), F.rand(3).alias("w"))
+    return {"P": parents, "C": child, "Q": second}
+
+
+def test_hot_parent_two_parents_and_constraints(spark):
+    real = family_tables(spark)
+    real["C"] = real["C"].withColumn("other", F.when(F.col("c") % 10 != 0, F.col("other")))
+    rels = [Relationship("P", "k", "C", "fk"), Relationship("Q", "o", "C", "other")]
+    roles = {"P": ColumnRoles(["v"], []), "Q": ColumnRoles(["w"], []), "C": ColumnRoles(["low", "high"], [])}
+    spec = {"table": "C", "type": "inequality", "low": "low", "high": "high"}
+    made = synth.sample_hierarchical(real, rels, roles, {"C": "c"}, seed=2, constraints=[spec], keep_id="n")
+    copy = made["C"]
+    assert copy.columns == ["n", "c", "fk", "low", "high", "other"]
+    assert copy.count() == 40_000 and copy.where("low > high").count() == 0
+    assert copy.select("c").distinct().count() == 40_000 and copy.agg(F.max("c")).first()[0] == 39_999
+    for row in structure.referential_integrity(rels, made, {}).collect():
+        assert row["fk_coverage"] == 1.0
+    for key in ("fk", "other"):
+        sizes = [sorted(r["count"] for r in df.where(f"{key} IS NOT NULL").groupBy(key).count().collect()) for df in (real["C"], copy)]
+        assert sizes[0] == sizes[1]
+    twice = synth.sample_hierarchical(real, rels, roles, {"C": "c"}, scale=2.0)["C"]
+    assert abs(twice.count() - 80_000) <= 4_000
+
+
+def test_permutation_is_a_bijection():
+    for n in (1, 2, 3, 10, 1000, 4097):
+        assert sorted(synth._permuted(np.arange(n), n, 7)) == list(range(n))
+
+
+def test_copies_do_not_depend_on_the_layout(spark):
+    df = spark.range(500).select("id", (F.col("id") % 11).alias("code"), F.rand(1).alias("v"))
+    child = spark.range(900).select(F.col("id").alias("cid"), (F.col("id") % 500).alias("fk"), F.rand(2).alias("u"))
+    job = synth.SuiteInput(
+        {"T": df, "C": child}, {"T": ColumnRoles(["v"], ["code"]), "C": ColumnRoles(["u"], [])},
+        {"T": F.col("id"), "C": F.col("cid")}, [Relationship("T", "id", "C", "fk")], {"T": "id", "C": "cid"}, row_id="n",
+    )
+    names = ["hierarchical", "gaussiancopula", "bootstrap"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    found = []
+    try:
+        for parts in (2, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(synth.generate_suite(job, names))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for name in names:
+        for table in ("T", "C"):
+            # sums of doubles may differ in their last digits
+            one, two = (f[name][table].withColumns({c: F.round(c, 6) for c in "uv" if c in f[name][table].columns}) for f in found)
+            assert one.exceptAll(two).count() == 0
+
+
+def test_table_with_one_modelable_column(spark):
+    from twinlens.operators import utility
+
+    df = spark.range(60).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("only"))
+    rows = utility.tstr(df, df, {"copy": df}, ColumnRoles([], ["only"]), "only", "classification").collect()
+    assert rows and all(r["score"] is None and r["note"] for r in rows)
+
+
+def test_csv_keeps_line_breaks(spark, tmp_path):
+    rows = [(1, 'a\nb "quoted", c'), (2, " \r\n padded "), (3, "plain")]
+    io.write_table(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "out"))
+    back = io.read_tables(spark, [str(tmp_path / "out")])["OUT"]
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
 def test_sibling_share(spark):
     rows = spark.range(2000).select(F.pmod("id", F.lit(100)).alias("k"), F.randn(1).alias("noise"), F.col("id"))
     df = rows.select("k", (F.sin(F.col("k") * 12.9) * 2).alias("same"), F.col("noise").alias("free"))

@@ -65,7 +65,7 @@ def membership_inference(
         return spark.createDataFrame([(None, None, n_train, n_hold, note)], MIA_SCHEMA)
 
     if not roles.modelable or n_hold < 10 or n_train < 10 or n_synth < 5:
-        return skipped("insufficient data or columns for membership inference")
+        return skipped("too few rows, or no usable column")
     try:
         encoder = encoder or fit_encoder(train, roles)
     except ValueError as error:

@@ -124,16 +124,20 @@ def bootstrap_table(
     columns: list[str] | None = None,
     seed: int = 0,
     small: list[str] | None = None,
+    keep_row: str | None = None,
 ) -> DataFrame:
     """Baseline generator: as many rows as ``real``, every column drawn on its own.
 
     ``small`` names columns expected to have few values; they skip the join.
+    ``keep_row`` names a further column with the key each copied row was drawn under.
     """
     columns = columns or real.columns
     few = [c for c in columns if c in (small or [])]
     frame, wide = refill_small(real.select(key.alias("__row")), real, few, F.col("__row"), seed)
     rest = [c for c in columns if c not in few or c in wide]
-    return refill(frame, real, rest, F.col("__row"), key, seed=seed).select(*columns)
+    return refill(frame, real, rest, F.col("__row"), key, ["__row", *columns], seed).select(
+        *([F.col("__row").alias(keep_row)] if keep_row else []), *columns
+    )
 
 
 def columns_to_model(

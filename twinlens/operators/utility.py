@@ -229,10 +229,7 @@ class Fitted:
 
 def _classes(train: DataFrame, target: str) -> list[str]:
     rows = text_counts(train, [target], digest=False).where(F.col("value").isNotNull())
-    found = sorted(r["value"] for r in rows.limit(1001).collect())
-    if len(found) > 1000:
-        raise ValueError(f"target '{target}' has too many classes")
-    return found
+    return sorted(r["value"] for r in rows.collect())
 
 
 def _fit_predict(train: DataFrame, test: DataFrame, roles: ColumnRoles, target: str, task: str, model) -> Fitted:
@@ -266,9 +263,9 @@ def _fit_predict(train: DataFrame, test: DataFrame, roles: ColumnRoles, target:
 def _note(dropped: int, aligned: int) -> str:
     parts = []
     if dropped:
-        parts.append(f"dropped {dropped} holdout rows with unseen target class")
+        parts.append(f"{dropped} test rows have a class that training lacks and were left out")
     if aligned:
-        parts.append(f"aligned {aligned} feature col(s) with unseen/missing categories to train")
+        parts.append(f"{aligned} columns hold categories that training lacks; read as missing")
     return "; ".join(parts)
 
 
@@ -320,13 +317,24 @@ def tstr(
 
 
 def _source_scores(train, test, roles, target, task, n_test, max_depth, seed):
+    """(metric, score, note); a source that cannot be fitted gets notes instead of scores."""
+    try:
+        return _fitted_scores(train, test, roles, target, task, n_test, max_depth, seed)
+    except ValueError as error:
+        if task != "classification":
+            return [(LINEAR_R2, None, str(error))]
+        headline = BINARY_F1 if len(_classes(train, target)) == 2 else MACRO_F1
+        return [(m, None, str(error)) for m in (headline, *EXTRA.values())]
+
+
+def _fitted_scores(train, test, roles, target, task, n_test, max_depth, seed):
     if task != "classification":
         fitted = _fit_predict(train, test, roles, target, task, LinearRegression(maxIter=100))
         return [(LINEAR_R2, regression_scores(fitted.predictions).first()["r2"], "")]
     n_classes = len(_classes(train, target))
     headline = BINARY_F1 if n_classes == 2 else MACRO_F1
     if n_test < 5:
-        problem = "too few holdout rows share the training classes"
+        problem = "fewer than 5 test rows are left"
         return [(m, None, problem) for m in (headline, *EXTRA.values())]
     tree = DecisionTreeClassifier(maxDepth=max_depth, maxBins=64, seed=seed)
     fitted = _fit_predict(train, test, roles, target, task, tree)
@@ -390,7 +398,11 @@ def tstr_full(
             test = holdout.where(F.col(target).isNotNull())
             if task == "classification":
                 test = drop_unseen_targets(fit_rows, test, target)
-            fitted = _fit_predict(fit_rows, test, roles, target, task, _model(task, kind, trees, seed))
+            try:
+                fitted = _fit_predict(fit_rows, test, roles, target, task, _model(task, kind, trees, seed))
+            except ValueError:  # no other column can be encoded
+                rows.append((table, target, task, kind, source, None, None, None, None, None))
+                continue
             if task == "classification":
                 s = classification_scores(fitted.predictions).first()
                 auc = weighted_auc(fitted.predictions, fitted.classes).first()["auc"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,24 +26,41 @@ def build_session(cores: str = "*", app: str = "twinlens", shuffle_partitions: i
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_STEPS: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session that names none, as in local tests, gets a temporary one.
+    Only a local session that names none gets a temporary one, removed at exit: on a
+    cluster every machine would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="twinlens-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
     return _LOCAL_FOLDERS[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/twinlens-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/twinlens-{label}-{uuid.uuid4().hex}"
+    _STEPS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_steps(spark: SparkSession) -> int:
+    """Delete the folders of all durable steps of this session, once its results are written elsewhere."""
+    paths = _STEPS.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -60,8 +60,12 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited text with a header; give ``schema`` to skip the inference pass."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    """Delimited text with a header; give ``schema`` to skip the inference pass.
+
+    Quoted values may hold line breaks, so a file is one split: large tables come
+    in many files, as :func:`write_table` makes them.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if schema is not None:
         return reader.schema(schema).csv(path)
     text = _without_na_words(reader.csv(path))
@@ -96,7 +100,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition (never funnelled through one task)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
