@@ -95,9 +95,66 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
 """
 
+def _decontamination_sql() -> str:
+    """Seeds as lists of words; the best run is the largest rise of the running score on a diagonal."""
+    d = decontaminate
+    seeds = []
+    for number, mask in enumerate(d.MASKS):
+        picked = ", ".join(f"w[i + {k}]" for k, one in enumerate(mask) if one == "1")
+        seeds.append(
+            f"SELECT id, {number} AS m, i, [{picked}] AS s FROM "
+            f"(SELECT id, w, unnest(range(1, len(w) - {len(mask) - 2})) AS i FROM {{0}} WHERE len(w) >= {len(mask)})"
+        )
+    longest = max(map(len, d.MASKS))
+    whole = [
+        f"SELECT id, {100 + n} AS m, i, w[i:i + {n - 1}] AS s FROM "
+        f"(SELECT id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {{0}} WHERE len(w) >= {n})"
+        for n in range(d.LEAST_WORDS, longest)
+    ]
+    both = " UNION ALL ".join([*seeds, *whole])
+    # whole seeds come from items of that length alone
+    items = " UNION ALL ".join([*seeds, *(x.replace(">=", "=") for x in whole)]).replace("{0}", "item")
+    return f"""
+WITH doc AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents),
+item AS (SELECT DISTINCT item_id AS id, {WORDS_SQL} AS w FROM benchmark WHERE len({WORDS_SQL}) >= {d.LEAST_WORDS}),
+a AS ({both.replace("{0}", "doc")}), b AS ({items}),
+line AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.i - b.i AS d FROM a JOIN b ON a.m = b.m AND a.s = b.s),
+pos AS (SELECT doc_id, item_id, d, doc.w AS said, item.w AS asked,
+  unnest(range(greatest(1, 1 - d), least(len(item.w), len(doc.w) - d) + 1)) AS j
+  FROM line JOIN doc ON doc.id = doc_id JOIN item ON item.id = item_id),
+step AS (SELECT doc_id, item_id, d, len(asked) AS n, j,
+  sum(CASE WHEN said[j + d] = asked[j] THEN 1 ELSE -{d.PENALTY} END) OVER (PARTITION BY doc_id, item_id, d ORDER BY j) AS p FROM pos),
+low AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, d ORDER BY j ROWS UNBOUNDED PRECEDING), 0)) AS q FROM step),
+best AS (SELECT doc_id, item_id, max(p - q) AS score FROM low GROUP BY doc_id, item_id, d, n HAVING max(p - q) >= least({d.ENOUGH}, n)),
+hit AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(score) AS score FROM best GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(score, 0)::INT AS score
+FROM documents LEFT JOIN hit USING (doc_id)
+"""
+
+
+_RAW_WORDS = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+_QUALITY_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_RAW_WORDS} AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+tri AS (SELECT doc_id, i, w[i:i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, s FROM tri GROUP BY doc_id, s HAVING count(*) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri JOIN twice USING (doc_id, s), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+c AS (SELECT w.doc_id, t, w, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(inside.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN inside USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 4 > n_words OR n_dup_lines * 10 > len(l) * 3 OR word_chars > 15 * n_words OR word_chars * 2 < 3 * n_words
+    OR length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > word_chars * 4 OR length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) * 10 < word_chars * 6
+    OR (len(list_distinct(w)) * 20 < n_words AND n_words < 2000)) AS kept
+FROM f
+"""
+
 SQL: dict[str, str] = {
     "op1_jaccard_join": f"""
 WITH RECURSIVE {JACCARD_CTES.format(source="documents")}
 SELECT n.doc_id, n.n AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = n.doc_id) AS component_id FROM n
 """,
+    "op2_decontamination": _decontamination_sql(),
+    "op8_quality_rules": _QUALITY_SQL,
 }
