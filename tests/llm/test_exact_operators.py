@@ -154,7 +154,7 @@ def test_decontamination(spark, odd_docs, no_docs):
 
 @pytest.mark.parametrize(("path", "byte_level"), [(BYTES, True), (WORDS, False)])
 def test_pieces_equal_the_library(odd_docs, path, byte_level):
-    texts = [r.text for r in odd_docs.collect()] + ["It's 'tis <|endoftext|> a  b　 c  d ê é ŷ ǆ .́ ΣΑΣ", "x" * 5000]
+    texts = [r.text for r in odd_docs.collect()] + ["It's 'tis <|endoftext|> a  b　 c  d ê é ŷ ǆ .́ ΣΑΣ", "x" * 5000, "a.b c,d e.\nF g\nh\n\ni ×. ÷, é. É,a x.́ \t.y 　.a"]
     tool = Tokenizer.from_file(path)
     tool.encode_special_tokens = True
     ids, counts = PieceEncoder(path, byte_level).encode(pa.array(texts))
