@@ -115,6 +115,13 @@ def _validate(spark, sf):
     return structure.validate_model([*RELS, BROKEN, ABSENT], real, "o_custkey", ["ORDERS"])
 
 
+def _records(spark, sf):
+    """Relationships through their records and back, doubled ones once, with the cardinality of the data."""
+    again = [type(r).from_record(r.as_record()) for r in RELS]
+    back = [structure.orient((r.child_table, r.child_key), (r.parent_table, r.parent_key), "many-to-one")[0] for r in RELS]
+    return structure.relationship_records([*RELS, *again, *back], tables(spark, sf))
+
+
 def _children(spark, sf):
     return structure.children_per_parent(load(spark, sf, "customer"), load(spark, sf, "orders"), "c_custkey", "o_custkey")
 
@@ -147,6 +154,7 @@ QUERIES = {
     "s12_cardinality_shape": lambda spark, sf: rounded(_shape(spark, sf)),
     "s13_cardinality_statistic": _statistic,
     "s14_structure_scores": _scores,
+    "s15_relationship_records": _records,
 }
 
 # ---- SQL -------------------------------------------------------------------
@@ -272,6 +280,12 @@ SQL = {
         f"round(parent_coverage, 6) AS parent_coverage, {_STATUS} AS status FROM ({_integrity_rows()})"
     ),
     "s10_validate_model": _validate_sql(),
+    "s15_relationship_records": " UNION ALL ".join(
+        f"SELECT '{r.parent_table}' AS parent_table_name, '{r.parent_key}' AS parent_primary_key, '{r.child_table}' AS child_table_name, "
+        f"'{r.child_key}' AS child_foreign_key, CASE WHEN count(*) = count(DISTINCT {r.child_key}) THEN '1-1' ELSE '1-*' END AS cardinality "
+        f"FROM {r.child_table.lower()} WHERE {r.child_key} IS NOT NULL"
+        for r in RELS
+    ),
     "s11_children_per_parent": "SELECT c_custkey, count(o_custkey) AS n_children FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "s12_cardinality_shape": f"WITH {_COPIES} SELECT synth, relationship, round(score, 6) AS score FROM ({_SHAPE_ROWS})",
     "s13_cardinality_statistic": f"WITH {_COPIES} SELECT synth, relationship, round(score, 6) AS score FROM ({_STATISTIC_ROWS})",

@@ -103,6 +103,20 @@ def test_knn_against_brute_force_with_hot_duplicates(spark, monkeypatch, skip_se
         assert got[i] == pytest.approx(row, abs=1e-9)
 
 
+def test_knn_far_from_the_origin(spark):
+    """Spread of 1e-2 around 1e6, and one-hot vectors of 50 dimensions."""
+    rng = np.random.default_rng(8)
+    far = 1e6 + rng.normal(0, 1e-2, (120, 3))
+    hot = np.eye(50)[rng.integers(0, 50, 200)]
+    for points in (far, hot):
+        base = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, features array<double>")
+        got = {r["id"]: r["distances"] for r in knn.knn_distances(base, base, 4, True).collect()}
+        full = np.sqrt(((points[:, None, :] - points[None]) ** 2).sum(2))
+        np.fill_diagonal(full, np.inf)
+        for i, row in enumerate(np.sort(full, axis=1)[:, :4]):
+            assert got[i] == pytest.approx(row, abs=1e-8)
+
+
 def test_knn_caps_k_at_the_base(spark):
     base = spark.createDataFrame([([0.0],), ([2.0],)], "features array<double>")
     assert knn.knn_distances(base, base, 5).first()["distances"] in ([0.0, 2.0], [2.0, 0.0])
