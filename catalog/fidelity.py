@@ -44,7 +44,10 @@ def _contingency(spark, sf):
 
 
 def _quality(spark, sf):
-    return rounded(fidelity.quality_report(_shapes(spark, sf), _trends(spark, sf)))
+    real, copies = line_copies(spark, sf)  # built once for both properties
+    shapes = fidelity.column_shapes(real, copies, NUM, CAT)
+    trends = fidelity.column_pair_trends(real, copies, NUM, CAT)
+    return rounded(fidelity.quality_report(shapes, trends))
 
 
 def _quality_matrix(spark, sf):

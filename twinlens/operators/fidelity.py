@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.values import numeric_or_epoch
 from twinlens.operators.counting import before_run, long_cells, ordered_runs
+from twinlens.session import durable
 
 REAL = "real"
 _BINS = 10
@@ -80,7 +81,7 @@ def _grid_cell(value: Column, cuts: list[float]) -> Column:
 def ks_from_cells(long: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
     """KS complement from rows ``(source, *ids, value)``, per copy and id."""
     sources = [REAL, *names]
-    counts = long.groupBy(*ids, "value").agg(*_counters(sources))
+    counts = durable(long.groupBy(*ids, "value").agg(*_counters(sources)))  # read for totals and for ranges
     totals = counts.groupBy(*ids).agg(*[F.sum(f"n_{i}").alias(f"t_{i}") for i in range(len(sources))])
     runs = ordered_runs(counts, ids, "value", [f"n_{i}" for i in range(len(sources))])
     # totals hold one row per column of the table, so the broadcast is bounded by the schema
@@ -116,7 +117,7 @@ def tv_complement(real: DataFrame, copies: dict[str, DataFrame], columns: list[s
 
 def tv_from_cells(long: DataFrame, names: list[str], ids: list[str], values: list[str]) -> DataFrame:
     sources = [REAL, *names]
-    counts = long.groupBy(*ids, *values).agg(*_counters(sources))
+    counts = durable(long.groupBy(*ids, *values).agg(*_counters(sources)))  # read twice
     totals = counts.groupBy(*ids).agg(*[F.sum(f"n_{i}").alias(f"t_{i}") for i in range(len(sources))])
     joined = counts.join(F.broadcast(totals), ids)  # one row per column or column pair
     gaps = [
@@ -198,8 +199,8 @@ def contingency_similarity(
 ) -> DataFrame:
     """1 - half the L1 distance of the joint shares; numeric sides cut into 10 bins.
 
-    The bins span the real minimum to maximum.  Each row contributes one cell per
-    pair, and cells are counted before they are shuffled.
+    The bins span the real minimum to maximum.  Cells are numbers (pair, bin or
+    64-bit hash of the category) and are counted before they are shuffled.
     """
     columns = sorted({c for pair in pairs for c in pair})
     tagged = tag_sources(real, copies, columns)
@@ -212,18 +213,20 @@ def contingency_similarity(
     for c in columns:
         if c in binned:
             low, high = F.col("__bounds")[f"lo_{c}"], F.col("__bounds")[f"hi_{c}"]
-            cells.append(bin_of(numeric_or_epoch(tagged, c), low, high, F.lit(_BINS)).cast("string").alias(c))
+            cells.append(bin_of(numeric_or_epoch(tagged, c), low, high, F.lit(_BINS)).cast("bigint").alias(c))
         else:
-            cells.append(F.col(c).cast("string").alias(c))
+            cells.append(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string"))).alias(c))
     labels = labels.select("source", *cells)
     rows = F.array(
         *[
-            F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(a).alias("a"), F.col(b).alias("b"))
-            for a, b in pairs
+            F.struct(F.lit(i).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)
         ]
     )
     long = labels.select("source", F.inline(rows))
-    return tv_from_cells(long, list(copies), ["column_1", "column_2"], ["a", "b"])
+    scores = tv_from_cells(long, list(copies), ["pair"], ["a", "b"])
+    names = F.lit([a for a, _ in pairs]), F.lit([b for _, b in pairs])
+    named = [F.get(n, "pair").alias(f"column_{k}") for k, n in enumerate(names, 1)]
+    return scores.select("synth", *named, "score")
 
 
 def column_pair_trends(
