@@ -32,7 +32,7 @@ class Rule:
 # Thresholds; each is far outside of what prose in any language shows.
 RULES = (
     Rule("symbols", "n_symbols * 4 > n_words"),
-    Rule("repeated_lines", "n_dup_lines * 10 > size(lines) * 3"),
+    Rule("repeated_lines", "n_dup_lines >= 3 AND n_dup_lines * 10 > size(lines) * 3"),
     Rule("word_length", "word_chars > 15 * n_words OR word_chars * 2 < 3 * n_words"),
     Rule("capitals", "length(regexp_replace(text, '[^A-Z]', '')) * 10 > word_chars * 4"),
     Rule("letters", "length(regexp_replace(text, '[^\\\\p{L}]', '')) * 10 < word_chars * 6"),

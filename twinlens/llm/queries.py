@@ -144,7 +144,7 @@ c AS (SELECT w.doc_id, t, w, l, len(w)::BIGINT AS n_words, length(array_to_strin
   coalesce(inside.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN inside USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 4 > n_words OR n_dup_lines * 10 > len(l) * 3 OR word_chars > 15 * n_words OR word_chars * 2 < 3 * n_words
+  NOT (base_failed OR n_symbols * 4 > n_words OR (n_dup_lines >= 3 AND n_dup_lines * 10 > len(l) * 3) OR word_chars > 15 * n_words OR word_chars * 2 < 3 * n_words
     OR length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > word_chars * 4 OR length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) * 10 < word_chars * 6
     OR (len(list_distinct(w)) * 20 < n_words AND n_words < 2000)) AS kept
 FROM f
