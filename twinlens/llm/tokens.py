@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
 A slice of texts is cut where the tokenizer's own pre-tokenizer always cuts (at a
-blank before a word, or at white space); every distinct piece is encoded once by
+blank before a word, at white space, between a letter and a full stop); every distinct piece is encoded once by
 the library and the ids are gathered back by position. The result equals
 ``encode(text, add_special_tokens=False).ids`` on the whole text.
 """
@@ -9,6 +9,7 @@ the library and the ids are gathered back by position. The result equals
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from twinlens.llm.text import _SPACE, bytes_of, ragged, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEPT_PIECES = 300_000  # encoded pieces a Python worker remembers; beyond that it starts anew
+KEPT_PIECES = 1_000_000  # encoded pieces a Python worker remembers; beyond that it starts anew
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -38,53 +41,60 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         self.byte_level = byte_level
         self.letters = _byte_letters()
+        self.tokenize = self.library.model.tokenize
         self.kept: dict[bytes, bytes] = {}
 
-    def _single(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.library.model.tokenize(mapped)]
-
-    def _encode(self, raw: bytes, later: list[bytes]) -> list[int] | None:
-        """Ids of a piece that is a word or a word with one mark; None: left to the whole library."""
-        piece = raw.decode()
-        lead = " " if self.byte_level and piece[0] == " " else ""
-        word = piece[len(lead) :]
-        mark = ""
-        if word[-1:] in (".", ","):
-            word, mark = word[:-1], word[-1]
-        # letters up to U+024F are stable under composition and have one lower-case letter each
-        if word.isalpha() and (self.byte_level or (max(word) < "ɐ" and "İ" not in word)):
-            head = self._single(lead + (word if self.byte_level else word.lower()))
-            return head + self._single(mark) if mark else head
-        later.append(raw)
-        return None
-
     def pieces(self, raws: list[bytes]) -> list[bytes]:
-        """int32 ids of each piece, as bytes."""
+        """int32 ids of each piece, as bytes.
+
+        A piece of letters, behind a blank or not, is one pre-token; any other piece goes
+        through the whole library.
+        """
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
-        kept, later = self.kept, []
-        fresh = [r for r in raws if r not in kept]
-        for raw in fresh:
-            ids = self._encode(raw, later)
-            if ids is not None:
-                kept[raw] = np.array(ids, np.int32).tobytes()
+        kept, later, byte_level, tokenize, letters = self.kept, [], self.byte_level, self.tokenize, self.letters
+        for raw in raws:
+            if raw in kept:
+                continue
+            word = raw.decode()
+            # ASCII letters stand for themselves in the byte-level alphabet
+            if byte_level:
+                if (word[1:] if word[0] == " " else word).isalpha():
+                    mapped = word.replace(" ", "\u0120") if word.isascii() else raw.decode("latin-1").translate(letters)
+                    kept[raw] = array("i", [t.id for t in tokenize(mapped)]).tobytes()
+                    continue
+            elif word.isalpha():
+                if word.isascii():
+                    kept[raw] = array("i", [t.id for t in tokenize(word.lower())]).tobytes()
+                    continue
+                # letters up to U+024F are stable under composition and have one lower-case letter each
+                if max(word) < "\u0250" and "\u0130" not in word:
+                    mapped = word.lower().encode().decode("latin-1").translate(letters)
+                    kept[raw] = array("i", [t.id for t in tokenize(mapped)]).tobytes()
+                    continue
+            later.append(raw)
         if later:
             found = self.library.encode_batch_fast([r.decode() for r in later], add_special_tokens=False)
             for raw, encoding in zip(later, found, strict=True):
-                kept[raw] = np.array(encoding.ids, np.int32).tobytes()
+                kept[raw] = array("i", encoding.ids).tobytes()
         return [kept[r] for r in raws]
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         space = _SPACE[data]
         text_starts = offsets[:-1][np.diff(offsets) > 0]
+        # a full stop or comma behind a letter (ASCII, or U+00C0-U+00FF but for two signs) opens a piece
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        mark = np.zeros(n, bool)
+        mark[1:] = ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & letter[:-1]
         if not self.byte_level:
             opens, closes = np.ones(n, bool), np.ones(n, bool)
             opens[1:], closes[:-1] = space[:-1], space[1:]
             opens[text_starts] = True
             closes[offsets[1:][np.diff(offsets) > 0] - 1] = True
+            opens |= mark
+            closes[:-1] |= mark[1:]
             return np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
         # A blank opens a piece if a neighbour is surely no white space: ASCII, or U+00C0-U+00FF.
         sure = ~space & (data < 0x80)
@@ -93,7 +103,9 @@ class PieceEncoder:
         before[1:] = sure[:-1]
         before[2:] |= accent[:-2]
         after[:-1] = sure[1:] | accent[1:]
-        opens = (data == 0x20) & (before | after)
+        opens = ((data == 0x20) & (before | after)) | mark
+        # one line break never joins the letter behind it
+        opens[2:] |= (data[1:-1] == 0x0A) & ~space[:-2] & (data[:-2] < 0x80) & _LETTER[data[2:]]
         opens[text_starts] = True
         start = np.flatnonzero(opens)
         return start, np.append(start[1:], n)
