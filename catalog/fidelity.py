@@ -70,7 +70,7 @@ def _quality_matrix(spark, sf):
 
 
 def _pair_details(spark, sf):
-    return rounded(fidelity.pair_trend_details(_trends(spark, sf), 10))
+    return rounded(fidelity.pair_trend_details(_trends(spark, sf)))
 
 
 def _histogram(spark, sf):
@@ -305,7 +305,7 @@ SQL = {
     ),
     "f06_pair_trend_details": _with(
         f"SELECT synth, column_1, column_2, metric, round(score, 6) AS score FROM ({_TRENDS}) "
-        "QUALIFY row_number() OVER (PARTITION BY synth ORDER BY column_1, column_2) <= 10"
+        "QUALIFY row_number() OVER (PARTITION BY synth ORDER BY column_1, column_2) <= 60"
     ),
     "f07_quality_report": _with(
         "SELECT synth, round(column_shapes, 6) AS column_shapes, round(column_pair_trends, 6) AS column_pair_trends, "

@@ -73,8 +73,7 @@ def _mia(spark, sf):
 
 def _exact(spark, sf):
     real, copies = line_copies(spark, sf)
-    roles = ColumnRoles(["l_quantity", "l_discount"], LINE_ROLES.categorical)
-    return rounded(privacy.exact_match_rate(real, copies["boot"], roles))
+    return rounded(privacy.exact_match_rate(real, copies["boot"], LINE_ROLES))
 
 
 def _new_rows(spark, sf):
@@ -139,8 +138,10 @@ def _verdicts(spark, sf):
 
 def _report(spark, sf):
     train, held = customer_split(spark, sf)
+    roles = ColumnRoles(["c_acctbal"], ["c_mktsegment", "c_nationkey"])
+    boot = durable(bootstrap_table(train, F.col("c_custkey"), roles.modelable, seed=9, small=["c_mktsegment"]))
     return privacy_report(
-        train, held, {"held": held}, ColumnRoles(["c_acctbal"], ["c_mktsegment", "c_nationkey"]), F.col("c_custkey"),
+        train, held, {"boot": boot}, roles, F.col("c_custkey"),
         table="CUSTOMER", trees=20, depth=5,
     )
 
@@ -268,7 +269,7 @@ def _vectors_sql() -> str:
     return f"WITH {_CUSTOMER} " + " UNION ALL ".join(parts)
 
 
-_EXACT_COLUMNS = ["l_quantity", "l_discount", *LINE_ROLES.categorical]
+_EXACT_COLUMNS = LINE_ROLES.modelable
 
 SQL = {
     "v01_coerce_frame": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import LINE_ROLES, LINE_SPLIT_SQL, ORDER_ROLES, ORDERS_SPLIT_SQL, lineitem_split, load, orders_split, rounded, uniform_sql
+from catalog.base import LINE_ROLES, LINE_SPLIT_SQL, ORDER_ROLES, ORDERS_SPLIT_SQL, lineitem_boot, lineitem_split, load, orders_split, rounded, uniform_sql
 from catalog.privacy import customer_split, orders_copies
 from twinlens.operators import utility
 
@@ -91,7 +91,8 @@ def _tstr(spark, sf):
 
 def _tstr_regression(spark, sf):
     train, held = lineitem_split(spark, sf)
-    return rounded(utility.tstr(train, held, {"held": held}, LINE_ROLES, "l_extendedprice", "regression", "LINEITEM"))
+    boot = lineitem_boot(train)
+    return rounded(utility.tstr(train, held, {"boot": boot}, LINE_ROLES, "l_extendedprice", "regression", "LINEITEM"))
 
 
 def _tstr_line(spark, sf):
