@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from twinlens.llm.text import mix, ragged, slices, stream, words_of
 from twinlens.session import durable
 
-BROADCAST_ROWS = 1_000_000  # 8 MB of ids; above it the join shuffles
+BROADCAST_ROWS = 1_000_000  # of two or three numbers; above it the join shuffles
 KEYS_PER_FLUSH = 1 << 19
 
 _LANE = stream(6, 5) | np.uint64(1)
@@ -401,9 +401,11 @@ def _set_rows(batches: Iterator[pa.RecordBatch], params: JaccardParams, seed: in
             one, _ = identities(elements, sizes, seed)
             cuts = np.append(0, np.cumsum(sizes))
             blobs = [elements[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one), pa.array(sizes), pa.array(blobs, pa.binary())], names=["class", "size", "elements"]
-            )
+            columns, names = [pa.array(one), pa.array(sizes), pa.array(blobs, pa.binary())], ["class", "size", "elements"]
+            rows = pa.RecordBatch.from_arrays(columns, names=names)
+            if "hub" in part.schema.names:  # only the class that the document was looked up for
+                rows = rows.append_column("hub", part.column("hub")).filter(pa.array(part.column("class").to_numpy() == one))
+            yield rows
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,9 +427,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the join --------------------------------------------------------------
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast only below a counted bound; otherwise left to a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys``; broadcast only below a counted bound."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, key, "left_semi")
+    """Rows of ``df`` whose key is in ``keys``."""
+    return df.join(_few(keys), key, "left_semi")
 
 
 def connected(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -629,20 +636,27 @@ def class_links(docs: DataFrame, params: JaccardParams | None = None) -> tuple[D
     if extra is not None:
         extra = durable(extra.distinct())
         involved = involved.union(extra.select("a")).union(extra.select("b"))
-    wanted = durable(
-        classes.join(involved.distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    )
-    sets = _semi(docs, wanted.select("doc_id"), "doc_id").select("text")
-    sets = sets.mapInArrow(partial(_set_rows, params=params, seed=seed), "class long, size long, elements binary")
-    sets = durable(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
-
-    # first each class against the hub it shares most signatures with, then the rest where components differ
-    hub = member.groupBy("gid", "band").agg(F.min("class").alias("y"))
-    first = member.join(hub, ["gid", "band"]).where("class <> y").groupBy(F.col("class").alias("x"), "y").agg(F.sum("n").alias("n"))
-    first = _pairs(first.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
-    tested = first.distinct() if extra is None else first.union(extra).distinct()
-    tested = durable(tested)
-    links = durable(_verify(tested, sets))
+    # first each class against the hub it shares most signatures with; the hub travels with the set
+    lead = member.groupBy("gid", "band").agg(F.min("class").alias("y"))
+    first = member.join(lead, ["gid", "band"]).where("class <> y").groupBy("class", "y").agg(F.sum("n").alias("n"))
+    first = durable(first.groupBy("class").agg(F.max_by("y", F.struct("n", "y")).alias("hub")))
+    wanted = classes.join(involved.distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    wanted = durable(wanted.join(first, "class", "left"))
+    found = docs.join(_few(wanted), "doc_id").select("text", "class", "hub")
+    sets = found.mapInArrow(partial(_set_rows, params=params, seed=seed), "class long, size long, elements binary, hub long")
+    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows with one id
+        sets = sets.dropDuplicates(["class"])
+    sets = durable(sets)
+
+    left = sets.where("hub IS NOT NULL").select(F.col("class").alias("a"), F.col("hub").alias("b"), F.col("elements").alias("left"), F.col("size").alias("m"))
+    hubs = _semi(sets, first.select(F.col("hub").alias("class")).distinct(), "class")
+    right = hubs.select(F.col("class").alias("b"), F.col("elements").alias("right"), F.col("size").alias("n"))
+    met = left.join(right, "b").where("m * 5 >= n * 4 AND n * 5 >= m * 4").select("a", "b", "left", "right")
+    links = met.mapInArrow(_linked, "a long, b long")
+    tested = _pairs(first.select(F.col("class").alias("x"), F.col("hub").alias("y")))
+    if extra is not None:
+        links, tested = links.union(_verify(extra, sets)), tested.union(extra)
+    tested, links = durable(tested.distinct()), durable(links)
     root = connected(spark, links).withColumnRenamed("node", "class")
     named = member.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = named.groupBy("gid", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
