@@ -50,6 +50,22 @@ def test_votes_are_the_exact_nearest(corpus):
         assert got == pytest.approx((weight * model.labels[best]).sum() / weight.sum(), rel=1e-5)
 
 
+def test_a_bound_on_the_labels_keeps_the_scores(spark, corpus, monkeypatch):
+    alike = spark.range(300).selectExpr("id AS doc_id", "'one text for all of them' AS text")
+    labels = alike.selectExpr("doc_id", "int(doc_id % 7 > 0) AS quality")
+    monkeypatch.setattr(quality_knn, "LABELLED_PER_CLASS", 10)
+    known = [r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    scores = {r.score for r in quality_knn.score(alike, labels).collect()}
+    assert min(scores) == pytest.approx(sum(known) / len(known)) and max(scores) == pytest.approx(min(scores))
+    docs, labels = corpus
+    monkeypatch.setattr(quality_knn, "LABELLED_PER_CLASS", 2000)
+    whole = {r.doc_id: r.score for r in quality_knn.score(docs, labels).collect()}
+    monkeypatch.setattr(quality_knn, "LABELLED_PER_CLASS", 47)
+    cut = {r.doc_id: r.score for r in quality_knn.score(docs, labels).collect()}
+    assert np.mean(list(cut.values())) == pytest.approx(np.mean(list(whole.values())), abs=0.05)
+    assert np.mean([(cut[i] >= 0.3) == (whole[i] >= 0.3) for i in whole]) > 0.97
+
+
 def test_quality_without_labels_and_odd_rows(corpus, odd_docs, no_docs):
     _, labels = corpus
     assert {r.score for r in quality_knn.score(odd_docs, labels.where("false")).collect()} == {0.5}

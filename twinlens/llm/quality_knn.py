@@ -5,7 +5,9 @@ three-word windows, text length), damped by 1 + log and weighted by inverse docu
 frequency. The leading eigenvectors of the labelled sample's Gram matrix span the
 latent space. The labelled vectors (``LABELLED_PER_CLASS`` of either label at most)
 are broadcast; every document takes exact cosine products with all of them, block by
-block, and its ``NEIGHBOURS`` nearest vote with their similarity.
+block, and its ``NEIGHBOURS`` nearest vote with their similarity. A labelled text counts
+for as many texts of its class as it stands for, in the votes and in the latent space,
+so a score means the share of good neighbours whether or not the bound cuts a class.
 
 Rows: NULL and empty texts have a vector of their own (the length term) and are
 scored like any other; repeated rows are scored alike; without any label of one of
@@ -39,7 +41,7 @@ class LatentModel:
     axes: np.ndarray  #: TERMS x LATENT
     vectors: np.ndarray  #: labelled documents, rows of length 1
     labels: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  #: number of labelled texts that each one stands for
 
 
 def _count(into: np.ndarray, doc: np.ndarray, term: np.ndarray) -> None:
@@ -102,19 +104,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> LatentModel:
     rows = sample.mapInArrow(_sample_rows, "doc_id long, y int, weight double, terms binary").collect()
     rows.sort(key=lambda r: r.doc_id)  # at most 2 * LABELLED_PER_CLASS rows, in one order everywhere
     counts = np.array([np.frombuffer(r.terms, np.float32) for r in rows]).reshape(-1, TERMS)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
-    scaled = _unit(counts * idf)
+    weights = np.array([r.weight for r in rows], float)
+    idf = np.log((1 + weights.sum()) / (1 + weights @ (counts > 0))) + 0.1
+    scaled = _unit(counts * idf) * np.sqrt(weights)[:, None]
     _, vectors = np.linalg.eigh(scaled.T @ scaled)
     axes = vectors[:, ::-1][:, :LATENT]
     # the sign of an eigenvector is free: fix it
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(LATENT)] < 0, -1, 1)
-    return LatentModel(
-        idf, axes, _project(counts, idf, axes), np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float)
-    )
+    return LatentModel(idf, axes, _project(counts, idf, axes), np.array([r.y for r in rows], float), weights)
 
 
 def vote(vectors: np.ndarray, model: LatentModel) -> np.ndarray:
-    """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
+    """Share of label 1 among the nearest labelled vectors, weighted by similarity and by what they stand for."""
     if len(model.labels) == 0:
         return np.full(len(vectors), 0.5)
     k = min(NEIGHBOURS, len(model.labels))
@@ -122,7 +123,7 @@ def vote(vectors: np.ndarray, model: LatentModel) -> np.ndarray:
     for a in range(0, len(vectors), 256):
         near = vectors[a : a + 256] @ model.vectors.T
         index = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, index, 1), 1e-6) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(near, index, 1), 1e-6) ** SHARPNESS * model.weights[index]
         out[a : a + 256] = (weight * model.labels[index]).sum(1) / weight.sum(1)
     return np.clip(out, 0.0, 1.0)
 
