@@ -174,3 +174,34 @@ def test_licences(corpus, odd_docs, no_docs):
     found = licences.scan(odd_docs).collect()
     assert len(found) == odd_docs.count() and not any(r.families for r in found)
     assert licences.scan(no_docs).count() == 0
+
+
+def test_licences_in_their_standard_wording(spark, corpus):
+    """Headers and body paragraphs, wrapped over lines, behind comment marks, amid other text."""
+    gnu = (
+        "{0} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {1} as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    )
+    notices = {
+        "gpl": gnu.format("This program", "General Public License"),
+        "agpl": gnu.format("This program", "Affero General Public License"),
+        "lgpl": gnu.format("Foo", "Lesser General Public License"),
+        "mit": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "bsd": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n",
+        "apache": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance\n'
+        "# with the License. You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n",
+        "mpl": " * This Source Code Form is subject to the\n * terms of the Mozilla Public\n * License, v. 2.0.",
+        "isc": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided "
+        "that the above\ncopyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software\nreleased into the public domain.",
+        "cc-by-sa": "This work is licensed under a Creative\nCommons Attribution-ShareAlike 4.0\nInternational License.",
+    }
+    other = " ".join(f"word{i % 17} of text{i % 5}" for i in range(100))
+    rows = [(10**6 + i, text) for i, text in enumerate(notices.values())]
+    rows += [(2 * 10**6 + i, f"{other}\n{text}\n{other}") for i, text in enumerate(notices.values())]
+    rows += [(3 * 10**6 + i, f"{other} {' '.join(text.split())} {other}") for i, text in enumerate(notices.values())]
+    docs = corpus[0].select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.families for r in licences.scan(docs).collect()}
+    missed = [(i // 10**6, f) for i, f in ((i, list(notices)[i % 10**6]) for i, _ in rows) if found[i] != f]
+    assert not missed
