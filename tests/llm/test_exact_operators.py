@@ -152,6 +152,21 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 1 to 14 words as they are; of 5 to 14 words with any one word replaced, of 15 to 17 with two."""
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(1, 18)}
+    swapped = [(n, (k,)) for n in range(5, 15) for k in range(n)] + [(n, (5, 10)) for n in (15, 16, 17)] + [(n, ()) for n in items]
+    few = [(n, (0,)) for n in (2, 3, 4)] + [(n, (1, 3)) for n in range(5, 10)]
+    rows = [
+        (i, " ".join(["before", "it", *("zzz" if k in out else w for k, w in enumerate(items[n])), "after"]), n, i < len(swapped))
+        for i, (n, out) in enumerate(swapped + few)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, hit boolean")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(i, n) for i, _, n, hit in rows if hit}
+
+
 @pytest.mark.parametrize(("path", "byte_level"), [(BYTES, True), (WORDS, False)])
 def test_pieces_equal_the_library(odd_docs, path, byte_level):
     texts = [r.text for r in odd_docs.collect()] + ["It's 'tis <|endoftext|> a  b　 c  d ê é ŷ ǆ .́ ΣΑΣ", "x" * 5000, "a.b c,d e.\nF g\nh\n\ni ×. ÷, é. É,a x.́ \t.y 　.a"]

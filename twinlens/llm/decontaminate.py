@@ -5,10 +5,15 @@ still matches when ignored words were substituted. Seeds of the benchmark and of
 training texts meet by hash; each hit fixes a benchmark item and a *diagonal* (text
 position minus item position). On that diagonal the words of item and text are
 compared one by one: +1 for an equal word, -``PENALTY`` for a substituted one. The
-best run must reach ``ENOUGH`` (or the item's length, if that is less).
+best run must reach ``ENOUGH`` (or the item's length, if that is less), or the equal words
+on the diagonal must be at least ``SHARE`` percent of the item's.
 
-Rows: NULL texts and texts without words are clean; items with fewer than
-``LEAST_WORDS`` words are never matched; repeated rows are judged alike; columns other
+Items of up to ``SHORT`` words have seeds of their own length: one for each block of words
+left out, so that a replaced word anywhere in the item leaves a seed whole. Items of fewer
+than ``SUBSTITUTED`` words are looked up whole, as they are.
+
+Rows: NULL texts and texts without words are clean; items without words are never matched;
+repeated rows are judged alike; columns other
 than doc_id / item_id and text are ignored. Words are split at ``\\x20 \\x09-\\x0D``
 and A-Z are lower-cased.
 """
@@ -23,9 +28,12 @@ from twinlens.session import durable
 
 # Which words of a window count.
 MASKS = ("110110101", "1110010111")
-LEAST_WORDS = 8
+LEAST_WORDS = 8  # of the SQL twin, which knows no shorter items
 PENALTY = 2
 ENOUGH = 12
+SHARE = 80
+SHORT = 14
+SUBSTITUTED = 5
 LITERALS = 50_000  # seeds tested inside each text; more of them join by shuffle
 BROADCAST_ROWS = 200_000  # seeds, or (text, item, diagonal) rows; above it joins shuffle
 
@@ -38,13 +46,13 @@ def _worded(frame: DataFrame, key: str) -> DataFrame:
 
 
 def _seed_sql(masks: list[str]) -> str:
-    """array<struct<hash, place>> of all masked windows of ``words``."""
+    """array<struct<hash, place, mask>> of all masked windows of ``words``."""
     parts = []
     for number, mask in enumerate(masks):
         picked = ", ".join(f"v[i + {k}]" for k, one in enumerate(mask) if one == "1")
         parts.append(
             f"CASE WHEN size(v) < {len(mask)} THEN array() ELSE "
-            f"transform(sequence(0, size(v) - {len(mask)}), i -> struct(xxhash64({number}, {picked}) AS hash, i AS place)) END"
+            f"transform(sequence(0, size(v) - {len(mask)}), i -> struct(xxhash64({number}, {picked}) AS hash, i AS place, {number} AS mask)) END"
         )
     hashed = "transform(words, w -> xxhash64(w))"
     return bind(hashed, "v", f"concat({', '.join(parts)})")
@@ -61,6 +69,14 @@ def _kept_sql(masks: list[str], known: str) -> str:
     return bind("transform(words, w -> xxhash64(w))", "v", f"concat({', '.join(parts)})")
 
 
+def _short_masks(n: int) -> list[str]:
+    """Seeds of an item of ``n`` words: whole, or without one of the blocks that cover it."""
+    if n < SUBSTITUTED:
+        return ["1" * n]
+    block = max(1, n // 3 if n > 8 else n // 4)
+    return ["".join("0" if a <= i < a + block else "1" for i in range(n)) for a in range(0, n, block)]
+
+
 def _few(df: DataFrame) -> DataFrame:
     """Broadcast below a counted bound; otherwise left to a shuffle join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -68,12 +84,14 @@ def _few(df: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, matched: verified overlaps of texts with benchmark items."""
-    items = durable(_worded(benchmark, "item_id").where(F.size("words") >= LEAST_WORDS).distinct())
-    # items shorter than a mask are looked up whole
-    short = items.where(F.size("words") < max(map(len, MASKS))).select(F.size("words").alias("n")).distinct()
-    masks = [*MASKS, *("1" * r.n for r in short.collect())]  # at most two more lengths
-    seeds = items.select("item_id", F.explode(F.expr(_seed_sql(masks))).alias("s"))
-    seeds = durable(seeds.select("item_id", "s.hash", F.col("s.place").alias("at")).distinct())
+    items = durable(_worded(benchmark, "item_id").where(F.size("words") > 0).distinct())
+    lengths = items.where(F.size("words") <= SHORT).select(F.size("words").alias("n")).distinct()
+    short = sorted(r.n for r in lengths.collect())  # at most SHORT lengths
+    masks = [*MASKS, *(m for n in short for m in _short_masks(n))]
+    seeds = items.select("item_id", F.size("words").alias("n"), F.explode(F.expr(_seed_sql(masks))).alias("s"))
+    # the seeds of a short length come from items of that length alone
+    own = F.expr(f"CASE s.mask {' '.join(f'WHEN {k} THEN n = {len(m)}' for k, m in enumerate(masks) if k >= len(MASKS))} ELSE true END" if short else "true")
+    seeds = durable(seeds.where(own).select("item_id", "s.hash", F.col("s.place").alias("at")).distinct())
     texts = _worded(docs, "doc_id")
     n_seeds = seeds.count()
     if n_seeds == 0:
@@ -102,7 +120,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              ELSE struct(r.run AS run, r.n AS n, s.best AS best, s.matched AS matched) END''')}"
     )
     found = met.withColumn("best", F.expr(f"aggregate({aligned}, {start}, {step})"))
-    found = found.where(F.col("best.best") >= F.least(F.lit(ENOUGH), F.size("asked")))
+    equal = F.expr(f"size(filter({aligned}, same -> same))")
+    enough = F.col("best.best") >= F.least(F.lit(ENOUGH), F.size("asked"))
+    found = found.where(enough | (100 * equal >= SHARE * F.size("asked")))
     return found.groupBy("doc_id", "item_id").agg(F.max("best.best").alias("score"), F.max("best.matched").alias("matched"))
 
 
