@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlens.llm import decontaminate, jaccard, licences, packing, pitman_yor, quality_knn, quality_rules, repair, secrets, toxicity
+from twinlens.llm import alignment, decontaminate, jaccard, licences, packing, pitman_yor, quality_knn, quality_rules, repair, secrets, toxicity
 from twinlens.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_knn": op9_quality_knn,
     "op10_toxicity": op10_toxicity,
+    "op13_alignment": op13_alignment,
 }
 
 # Lower-case A-Z only, then split at the white space of the word definition.
