@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlens.llm import alignment, decontaminate, jaccard, licences, packing, pitman_yor, quality_knn, quality_rules, repair, secrets, toxicity
+from twinlens.llm import alignment, decontaminate, jaccard, licences, mixing, packing, pitman_yor, quality_knn, quality_rules, repair, secrets, toxicity, vector_codes
 from twinlens.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).taken()
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
@@ -80,6 +88,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_knn": op9_quality_knn,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_mixing": op12_mixing,
     "op13_alignment": op13_alignment,
 }
 
@@ -155,6 +165,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+# The line of each source is read from its start until the quota is full, whole passes first.
+_MIXING_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, source, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(t)) AS o FROM d),
+n AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w FROM s GROUP BY source),
+r AS (SELECT *, {mixing.PASSES} * source_size AS most, {mixing.PASSES} * source_size / w AS ratio, sum(source_size) OVER ()::BIGINT AS total FROM n),
+q AS (SELECT *, (sum(most) OVER () - sum(most) OVER (ORDER BY ratio DESC))::BIGINT AS full_, sum(w) OVER (ORDER BY ratio DESC)::BIGINT AS open_ FROM r),
+f AS (SELECT full_, open_, total FROM q WHERE (total - full_) / open_ <= ratio ORDER BY ratio LIMIT 1),
+g AS (SELECT source, source_size, least(most::DOUBLE, ((f.total - f.full_) * w)::DOUBLE / f.open_) AS target FROM r, f),
+k AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM g),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
+SELECT p.doc_id, p.size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - start)) END::BIGINT AS taken
+FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source
+"""
+
+def _vector_codes_sql() -> str:
+    """Every assignment by a full scan of the codebook; one pair of tables per round."""
+    v = vector_codes
+    square = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"i AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {v.SCALE})::BIGINT) AS e FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, q, e[q * len(e) // {v.PARTS} + 1:(q + 1) * len(e) // {v.PARTS}] AS x FROM i, (SELECT unnest(range({v.PARTS})) AS q))",
+        f"b0 AS MATERIALIZED (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS j, x FROM p QUALIFY j < {v.ENTRIES})",
+    ]
+    for r in range(v.ROUNDS + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, p.q, arg_min(j, d * {v.ENTRIES} + j) AS j, min(d) AS d FROM "
+            f"(SELECT vec_id, p.q, b.j, {square} AS d FROM p JOIN b{r} b ON p.q = b.q) p GROUP BY vec_id, p.q)"
+        )
+        if r < v.ROUNDS:
+            steps += [
+                f"m{r} AS MATERIALIZED (SELECT q, j, list(m ORDER BY k) AS x FROM (SELECT q, j, k, floor(sum(x) / count(*))::BIGINT AS m FROM "
+                f"(SELECT a.q, a.j, unnest(p.x) AS x, unnest(range(len(p.x))) AS k FROM a{r} a JOIN p USING (vec_id, q)) GROUP BY q, j, k) GROUP BY q, j)",
+                f"b{r + 1} AS MATERIALIZED (SELECT b.q, b.j, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m USING (q, j))",
+            ]
+    last = v.ROUNDS
+    return f"""
+WITH {", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY q, j)) AS codebooks_sha256 FROM b{last}),
+c AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY q) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN i USING (vec_id), h
+"""
+
+
 SQL: dict[str, str] = {
     "op1_jaccard_join": f"""
 WITH RECURSIVE {JACCARD_CTES.format(source="documents")}
@@ -162,4 +218,6 @@ SELECT n.doc_id, n.n AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = n.
 """,
     "op2_decontamination": _decontamination_sql(),
     "op8_quality_rules": _QUALITY_SQL,
+    "op11_vector_codes": _vector_codes_sql(),
+    "op12_mixing": _MIXING_SQL,
 }
