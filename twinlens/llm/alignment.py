@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.text import bytes_of, ragged, slices, span_hash
-from twinlens.llm.tokens import KEPT_PIECES, encoder
+from twinlens.llm.tokens import encoder
 from twinlens.session import durable
 
 HEAVY = 1 << 19  # pairs above this share of all links are sent to all tasks, 20 bytes each
 FLUSH_PAIRS = 1 << 20  # pair counts a task holds before it hands them on
+KEPT_PIECES = 150_000  # encoded stretches a Python worker remembers on either side
+SLICE_BYTES = 1 << 20  # text handled at once; one longer text is handled alone
 BLANK = "▁"
 COUNTED_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, counts binary"
 _encoders: dict[str, SentenceEncoder] = {}
@@ -149,7 +151,7 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, fir
             hit = np.flatnonzero(ends_b[place] == ends_a[probe])
             hit = hit[np.argsort(-np.abs(probe[hit] - middle[owner[hit]]), kind="stable")]
             at[owner[hit]] = probe[hit]  # the nearest to the middle is written last
-            shared[at[owner[hit]]] = np.searchsorted(ends_b, ends_a[at[owner[hit]]])
+            shared[probe[hit]] = place[hit]  # the others are found in good time as well
             open_ = open_[(at[open_] < 0) & ((left > low) | (m + far < high))]
             near, far = far, 2 * far
         cut = np.flatnonzero(at >= 0)
@@ -186,8 +188,11 @@ class Aligned:
         # each stretch between neighbouring ends of either side is one link
         alone = np.ones(len(self.ids_b), bool)
         alone[self.cut_b] = False
-        ends = np.sort(np.concatenate([self.ends_a, self.ends_b[alone]]), kind="stable")
-        self.link_a, self.link_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
+        order = np.argsort(np.concatenate([self.ends_a, self.ends_b[alone]]), kind="stable")
+        side_a = order < len(self.ids_a)
+        side_b = ~side_a
+        side_b[side_a] = self.shared >= 0
+        self.link_a, self.link_b = np.cumsum(side_a) - side_a, np.cumsum(side_b) - side_b
         self.n_links[self.texts] = np.diff(np.searchsorted(self.link_a, self.first_a))
 
     def _tokens(self, spaced: pa.Array, path_a: str, path_b: str, spell_a: Spelling, spell_b: Spelling):
@@ -219,8 +224,9 @@ class Aligned:
         n_a, n_b = len(self.ids_a), len(self.ids_b)
         if not n_a:
             return out
-        group_a = np.searchsorted(self.cut_a, np.arange(n_a))
-        group_b = np.searchsorted(self.cut_b, np.arange(n_b))
+        last_a, last_b = self.shared >= 0, np.zeros(n_b, bool)
+        last_b[self.cut_b] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         # A tokens of a group come behind the B tokens of all groups before, B tokens behind the A tokens of their own
         place_a = np.arange(n_a) + np.append(0, self.cut_b + 1)[group_a]
         place_b = np.arange(n_b) + (self.cut_a + 1)[group_b]
@@ -252,7 +258,7 @@ class Worker:
     """What a Python worker needs of both tokenizers."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.path_a, self.path_b = path_a, path_b
+        self.path_a, self.path_b, self.encode_a = path_a, path_b, encoder(path_a, True)
         self.spell_a, self.spell_b = byte_level_spelling(path_a), Spelling(sentence_encoder(path_b).bytes)
         self.words_a, self.words_b = _decimal(len(self.spell_a.length)), _decimal(len(self.spell_b.length))
         self.side = len(self.spell_b.length)
@@ -275,7 +281,9 @@ def _count_links(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) ->
     """Counts of each text, and its distinct pairs of linked ids with their numbers."""
     tools = worker(path_a, path_b)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
+            if len(tools.encode_a.kept) > KEPT_PIECES:
+                tools.encode_a.kept.clear()
             found = tools.align(part.column("text"))
             n = found.n_texts
             pair = found.ids_a[found.link_a].astype(np.int64) * tools.side + found.ids_b[found.link_b]
