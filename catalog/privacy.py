@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -43,7 +44,8 @@ def _encode(spark, sf):
 def _vectors(spark, sf):
     train, held = customer_split(spark, sf)
     encoder = encode.fit_encoder(train, CUSTOMER_ROLES)
-    return held.select("c_custkey", F.posexplode(encoder.features(held)).alias("slot", "value")).select(
+    vectors = encoder.vectors(held, "c_custkey")
+    return vectors.select("c_custkey", F.posexplode(vector_to_array("features")).alias("slot", "value")).select(
         "c_custkey", "slot", F.round("value", 6).alias("value")
     )
 

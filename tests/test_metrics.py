@@ -77,7 +77,7 @@ def test_encoder(spark):
     enc = encode.fit_encoder(df, ColumnRoles(["n", "e"], ["c"]))
     filled = np.array([1.0, 3.0, 3.0, 8.0])
     other = spark.createDataFrame([(5.0, "zzz"), (None, None)], "n double, c string")
-    got = [r["f"] for r in other.select(enc.features(other).alias("f")).collect()]
+    got = [r["features"].toArray().tolist() for r in enc.vectors(other, "n").collect()]
     scale = lambda v: (v - filled.mean()) / filled.std()
     assert got[0] == pytest.approx([scale(5.0), 0.0, 0.0]) and got[1] == pytest.approx([scale(3.0), 1.0, 0.0])
     with pytest.raises(ValueError):
@@ -336,7 +336,8 @@ def test_summary_arithmetic(spark):
 def test_long_categories_stay_whole(spark):
     long = "x" * 100
     df = spark.range(60).select("id", F.when(F.col("id") % 2 == 0, long).otherwise("y").alias("c"), (F.col("id") % 2).cast("double").alias("n"))
-    assert encode.fit_encoder(df, ColumnRoles([], ["c"])).categories["c"] == [long, "y"]
+    found = encode.fit_encoder(df, ColumnRoles([], ["c"]))
+    assert [r["value"] for r in found.steps.orderBy("place").collect()] == [long, "y"] and found.widths == {"c": 2}
     from twinlens.operators.refill import bootstrap_table
 
     copy = bootstrap_table(df, F.col("id"), ["c"], small=["c"])

@@ -32,9 +32,9 @@ MIA_SCHEMA = "auc double, accuracy double, n_members bigint, n_holdout bigint, n
 # ---- membership inference --------------------------------------------------
 
 
-def membership_features(rows: DataFrame, synth: DataFrame, k: int = 5) -> DataFrame:
+def membership_features(rows: DataFrame, synth: DataFrame, k: int = 5, codes: int = 0) -> DataFrame:
     """Distances to the k nearest copies plus their mean and minimum, as one array."""
-    near = knn_distances(rows, synth, k)
+    near = knn_distances(rows, synth, k, codes=codes)
     total = F.aggregate("distances", F.lit(0.0), lambda acc, d: acc + d)
     summary = F.array(F.try_divide(total, F.size("distances")), F.array_min("distances"))
     return near.withColumn("attack", F.concat("distances", summary)).drop("distances")
@@ -65,7 +65,7 @@ def membership_inference(
         return spark.createDataFrame([(None, None, n_train, n_hold, note)], MIA_SCHEMA)
 
     if not roles.modelable or n_hold < 10 or n_train < 10 or n_synth < 5:
-        return skipped("too few rows, or no usable column")
+        return skipped("insufficient rows, or no usable column")
     try:
         encoder = encoder or fit_encoder(train, roles)
     except ValueError as error:
@@ -74,9 +74,8 @@ def membership_inference(
     sides = []
     for df, label, size in ((train, 1.0, n_train), (holdout, 0.0, n_hold)):
         kept = df.where(hash_uniform(row_key, "balance", seed) < n / size)
-        sides.append(kept.select(row_key.alias("__key"), F.lit(label).alias("label"), encoder.features(df).alias("features")))
-    base = synth.select(encoder.features(synth).alias("features"))
-    rows = durable(membership_features(sides[0].union(sides[1]), base, k))
+        sides.append(encoder.compact(kept, row_key.alias("__key"), F.lit(label).alias("label")))
+    rows = durable(membership_features(sides[0].union(sides[1]), encoder.compact(synth), k, len(encoder.modes)))
     rows = rows.select("label", "__key", array_to_vector("attack").alias("attack"))
     test = hash_uniform(F.col("__key"), "attack-split", seed) < 0.4
     forest = RandomForestClassifier(featuresCol="attack", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
@@ -95,10 +94,9 @@ def membership_inference(
 def dcr_distances(real: DataFrame, synth: DataFrame, roles: ColumnRoles) -> DataFrame:
     """``(kind, distance)``: real to nearest copy (``synth``) and nearest other real (``real``)."""
     encoder = fit_encoder(real, roles)
-    r = real.select(encoder.features(real).alias("features"))
-    s = synth.select(encoder.features(synth).alias("features"))
-    to_synth = knn_distances(r, s, 1).select(F.lit("synth").alias("kind"), F.col("distances")[0].alias("distance"))
-    to_real = knn_distances(r, r, 1, skip_self=True).select(
+    r, s, codes = encoder.compact(real), encoder.compact(synth), len(encoder.modes)
+    to_synth = knn_distances(r, s, 1, codes=codes).select(F.lit("synth").alias("kind"), F.col("distances")[0].alias("distance"))
+    to_real = knn_distances(r, r, 1, skip_self=True, codes=codes).select(
         F.lit("real").alias("kind"), F.col("distances")[0].alias("distance")
     )
     return to_synth.union(to_real)

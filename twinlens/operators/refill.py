@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_draw
 from twinlens.model import ColumnRoles
-from twinlens.operators.counting import text_counts
+from twinlens.operators.lookup import short_tables, value_counts, value_steps, values_at
+from twinlens.session import durable
 
-SMALL_LIMIT = 1000
 _DIGITS = 4  # 65,536 index buckets: 15 million rows each for 10^12 rows
 
 
@@ -35,6 +37,27 @@ def index_rows(df: DataFrame, key: Column, columns: list[str], digits: int = _DI
     return numbered.select((F.col("__offset") + F.col("__pos") - 1).alias("__idx"), *columns)
 
 
+def _slots(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Column type -> name of the slot in which an answer of this type travels."""
+    kinds = dict.fromkeys(df.schema[c].dataType.simpleString() for c in columns)
+    return {kind: f"__slot_{i}" for i, kind in enumerate(kinds)}
+
+
+def _with_answers(rows: DataFrame, answers: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Gather the answers (``__rid``, ``__cell``, ...) of each row into columns; one shuffle."""
+    picked = [F.first(F.when(F.col("__cell") == i, value), ignorenulls=True).alias(c) for i, (c, value) in enumerate(columns.items())]
+    return rows.join(answers.groupBy("__rid").agg(*picked), "__rid", "left").drop("__rid")
+
+
+def _numbered(synth: DataFrame, columns: list[str], draws: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``synth`` without ``columns`` under row numbers, and its draws as cells ``(__rid, __cell, __at)``."""
+    kept = [c for c in synth.columns if c not in columns]
+    numbered = synth.select(*kept, *[d.alias(f"__draw_{c}") for c, d in draws.items()])
+    numbered = durable(numbered.withColumn("__rid", F.monotonically_increasing_id()))  # fixed by writing them
+    cells = F.array(*[F.struct(F.lit(i).alias("__cell"), F.col(f"__draw_{c}").alias("__at")) for i, c in enumerate(draws)])
+    return numbered.select(*kept, "__rid"), numbered.select("__rid", F.inline(cells))
+
+
 def refill(
     synth: DataFrame,
     real: DataFrame,
@@ -46,76 +69,72 @@ def refill(
 ) -> DataFrame:
     """Redraw each of ``columns`` independently, with replacement, from ``real``.
 
-    NULLs are drawn like any value, so the missing rate carries over.  Each
-    column is one equi-join on a uniform row index: as the index is per row, a
-    value shared by a third of the rows does not skew the join.
+    NULLs are drawn like any value, so the missing rate carries over. The draws of all
+    columns are one exchange: every drawn row index is a cell, cells meet the indexed
+    real rows in one join, and the answers return to their rows in one grouping. An
+    index is uniform, so a value shared by a third of the rows skews nothing.
     """
     columns = [c for c in columns if c in real.columns]
     if not columns:
         return synth
     n_real = real.agg(F.count(F.lit(1))).scalar()
-    indexed = index_rows(real, real_key, columns)
     kept = [c for c in synth.columns if c not in columns]
-    draws = {f"__draw_{c}": hash_draw(synth_key, c, seed, n_real) for c in columns}
-    out = synth.select(*kept, *[expr.alias(name) for name, expr in draws.items()])
-    for c in columns:
-        pool = indexed.select(F.col("__idx").alias(f"__draw_{c}"), c)
-        out = out.join(pool, f"__draw_{c}", "left").drop(f"__draw_{c}")
+    rows, cells = _numbered(synth, columns, {c: hash_draw(synth_key, c, seed, n_real) for c in columns})
+    slots = _slots(real, columns)
+    of_type = {kind: [i for i, c in enumerate(columns) if real.schema[c].dataType.simpleString() == kind] for kind in slots}
+    indexed = index_rows(real, real_key, columns)
+    named = indexed.select(F.col("__idx").alias("__at"), *[F.col(c).alias(f"__value_{i}") for i, c in enumerate(columns)])
+    answers = cells.join(named, "__at").select(
+        "__rid", "__cell",
+        *[F.coalesce(*[F.when(F.col("__cell") == i, F.col(f"__value_{i}")) for i in of_type[k]]).alias(slot) for k, slot in slots.items()],
+    )
+    values = {c: F.col(slots[real.schema[c].dataType.simpleString()]) for c in columns}
+    out = _with_answers(rows, answers, values)
     order = order or [*kept, *columns]
     return out.select(*[c for c in order if c in out.columns])
 
 
-def _frequency_steps(real: DataFrame, columns: list[str]) -> dict[str, list[tuple[int, str | None]]]:
-    """Cumulative counts per value in text order (NULL last), only for columns that fit.
-
-    One counting pass for all columns.  The driver receives at most
-    ``SMALL_LIMIT`` values per column; wider columns are left out.
-    """
-    counts = text_counts(real, columns, digest=False)
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("__size"))
-    fitting = sizes.where(F.col("__size") <= SMALL_LIMIT).select("column")
-    rows = counts.join(F.broadcast(fitting), "column").select("column", "value", "n").collect()
-    steps: dict[str, list[tuple[int, str | None]]] = {}
-    for row in sorted(rows, key=lambda r: (r["value"] is None, r["value"] or "")):
-        earlier = steps.setdefault(row["column"], [])
-        earlier.append(((earlier[-1][0] if earlier else 0) + row["n"], row["value"]))
-    return steps
-
-
 def _count_up_to(totals: Column, draw: Column) -> Column:
     return F.size(F.filter(totals, lambda total: total <= draw))
 
 
-def refill_small(
-    synth: DataFrame,
-    real: DataFrame,
-    columns: list[str],
-    synth_key: Column,
-    seed: int = 0,
-) -> tuple[DataFrame, list[str]]:
-    """Same draw for columns with few distinct values (codes, flags): no join at all.
+def refill_by_value(synth: DataFrame, real: DataFrame, columns: list[str], synth_key: Column, seed: int = 0) -> DataFrame:
+    """Same draw, from the column's values in text order with NULL last.
 
-    The real column becomes its cumulative-frequency table and each synthetic
-    row looks its draw up.  Returns the frame and the columns that had too many
-    values for this and still need :func:`refill`.
+    A draw is a position on the counted value table. Short tables are looked up where the
+    rows are; the positions of all other columns are one exchange. Both give the same
+    values, so the length of a table decides nothing but the way.
     """
-    steps = _frequency_steps(real, columns) if columns else {}
-    small = [c for c in columns if c in steps]
-    if not small:
-        return synth, columns
-    draws = [hash_draw(synth_key, c, seed, F.lit(steps[c][-1][0])).alias(f"__draw_{c}") for c in small]
-    # a generated row keeps each digest a stored value instead of one call per table step
-    drawn = synth.select("*", F.inline(F.array(F.struct(*draws))))
+    columns = [c for c in columns if c in real.columns]
+    if not columns:
+        return synth
+    counts = value_counts(real, columns)
+    short = {c: t for c, t in short_tables(counts).items() if c in columns}
+    ends = {c: list(accumulate(n for _, n in t)) for c, t in short.items()}
+    wide = [c for c in columns if c not in short]
+    kept = [c for c in synth.columns if c not in columns]
+    draws = {c: hash_draw(synth_key, c, seed, F.lit(ends[c][-1])) for c in short}
+    out = synth
+    if wide:
+        total = real.agg(F.count(F.lit(1))).scalar()
+        out = synth.withColumns({f"__short_{c}": d for c, d in draws.items()})
+        rows, cells = _numbered(out, columns, {c: hash_draw(synth_key, c, seed, total) for c in wide})
+        asked = cells.withColumn("column", F.get(F.lit(wide), "__cell"))
+        answers = values_at(asked, value_steps(counts.where(F.col("column").isin(wide))), "__at")
+        values = {c: F.col("value").cast(real.schema[c].dataType) for c in wide}
+        out, draws = _with_answers(rows, answers, values), {c: F.col(f"__short_{c}") for c in short}
+    if short:
+        # a generated row keeps each digest a stored value instead of one call per table step
+        stored = F.array(F.struct(*[d.alias(f"__draw_{c}") for c, d in draws.items()]))
+        out = out.select("*", F.inline(stored))
     picks = []
-    for c in small:
-        upto = F.lit([total for total, _ in steps[c]])
-        values = F.array(*[F.lit(v).cast("string") for _, v in steps[c]]).cast(
-            f"array<{real.schema[c].dataType.simpleString()}>"
-        )
-        position = _count_up_to(upto, F.col(f"__draw_{c}"))
-        picks.append(F.get(values, position).alias(c))
-    kept = [c for c in synth.columns if c not in small]
-    return drawn.select(*kept, *picks), [c for c in columns if c not in small]
+    for c in columns:
+        if c not in short:
+            picks.append(F.col(c))
+            continue
+        values = F.array(*[F.lit(v).cast("string") for v, _ in short[c]]).cast(f"array<{real.schema[c].dataType.simpleString()}>")
+        picks.append(F.get(values, _count_up_to(F.lit(ends[c]), F.col(f"__draw_{c}"))).alias(c))
+    return out.select(*kept, *picks)
 
 
 def bootstrap_table(
@@ -128,13 +147,14 @@ def bootstrap_table(
 ) -> DataFrame:
     """Baseline generator: as many rows as ``real``, every column drawn on its own.
 
-    ``small`` names columns expected to have few values; they skip the join.
+    ``small`` names columns expected to have few values; they are drawn from their counted
+    values in text order, all others from the rows in digest order.
     ``keep_row`` names a further column with the key each copied row was drawn under.
     """
     columns = columns or real.columns
     few = [c for c in columns if c in (small or [])]
-    frame, wide = refill_small(real.select(key.alias("__row")), real, few, F.col("__row"), seed)
-    rest = [c for c in columns if c not in few or c in wide]
+    frame = refill_by_value(real.select(key.alias("__row")), real, few, F.col("__row"), seed)
+    rest = [c for c in columns if c not in few]
     return refill(frame, real, rest, F.col("__row"), key, ["__row", *columns], seed).select(
         *([F.col("__row").alias(keep_row)] if keep_row else []), *columns
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_bucket
 from twinlens.model import Relationship, Tables
+from twinlens.operators.skew import spread_join
 
 HOLDOUT = "__holdout"
 
@@ -46,7 +47,8 @@ def mark_relational(
     Orphans, NULL foreign keys and tables on a cycle fall back to the split of
     their own row key.  With several parents the last relationship wins.  A root
     parent's side is a function of its key, so only its keys (two narrow
-    columns) travel to the child, never its rows.
+    columns) travel to the child, never its rows. Children of one parent, and
+    those without any, are spread over tasks.
     """
     parent_of = {r.child_table: r for r in relationships}
     marked: Tables = {}
@@ -64,10 +66,11 @@ def mark_relational(
             .groupBy(F.col(link.parent_key).alias("__parent_key"))
             .agg(F.min(HOLDOUT).alias("__parent_side"))
         )
+        keyed = df.withColumns({"__parent_key": F.col(link.child_key), "__own_side": own})
         marked[name] = (
-            df.join(sides, F.col(link.child_key) == F.col("__parent_key"), "left")
-            .withColumn(HOLDOUT, F.coalesce("__parent_side", own))
-            .drop("__parent_key", "__parent_side")
+            spread_join(keyed, sides, ["__parent_key"])
+            .withColumn(HOLDOUT, F.coalesce("__parent_side", "__own_side"))
+            .drop("__parent_key", "__parent_side", "__own_side")
         )
     return {name: marked[name] for name in tables}
 

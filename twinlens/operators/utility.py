@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from twinlens.functions.values import as_number
 from twinlens.model import ColumnRoles
 from twinlens.operators.counting import before_run, long_cells, ordered_runs, text_counts
 from twinlens.operators.encode import fit_encoder
+from twinlens.operators.lookup import value_counts, value_steps, values_to
 from twinlens.session import durable
 
 REAL = "real"
@@ -100,24 +101,22 @@ def _labelled(column: str) -> Column:
 def align_categories(train: DataFrame, test: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """``(train, test, columns changed)``: missing becomes a category, unknown ones the mode.
 
-    The known categories are one counted row per value; the test side is joined
-    to them, so nothing depends on how many there are.
+    The known categories are one counted row per value; the test side looks all its
+    columns up in one exchange, so nothing depends on how many there are.
     """
     columns = [c for c in columns if c in train.columns and c in test.columns]
     train = train.withColumns({c: _labelled(c) for c in columns}) if columns else train
     test = test.withColumns({c: _labelled(c) for c in columns}) if columns else test
     if not columns:
         return train, test, 0
-    counts = text_counts(train, columns, digest=False)
+    counts = value_counts(train, columns)
     modes = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
-    mode = {r["column"]: r["mode"] for r in modes.collect()}
-    flags = []
-    for c in columns:
-        known = train.select(F.col(c).alias(f"__known_{c}")).distinct()
-        test = test.join(known, F.col(c) == F.col(f"__known_{c}"), "left")
-        flags.append(F.max(F.col(f"__known_{c}").isNull()).alias(c))
-    seen = test.agg(*flags).first()
-    test = test.withColumns({c: F.coalesce(f"__known_{c}", F.lit(mode.get(c, MISSING))) for c in columns})
+    mode = {r["column"]: r["mode"] for r in modes.collect()}  # one row per column
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    known = counts.join(F.broadcast(totals), "column")
+    test = values_to(test, known, {f"__known_{c}": (c, F.col(c)) for c in columns}, F.lit(True))
+    seen = test.agg(*[F.max(F.col(f"__known_{c}").isNull()).alias(c) for c in columns]).first()
+    test = test.withColumns({c: F.when(F.col(f"__known_{c}"), F.col(c)).otherwise(F.lit(mode.get(c, MISSING))) for c in columns})
     return train, test.drop(*[f"__known_{c}" for c in columns]), sum(bool(seen[c]) for c in columns)
 
 
@@ -161,7 +160,7 @@ def classification_scores(predictions: DataFrame, label: str = "label", predicti
     )
 
 
-def positive_f1(predictions: DataFrame, positive: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def positive_f1(predictions: DataFrame, positive: str | float, label: str = "label", prediction: str = "prediction") -> DataFrame:
     table = class_table(predictions, label, prediction).where(F.col("class") == positive)
     return table.agg(F.coalesce(F.max(_f1()), F.lit(0.0)).alias("f1"))
 
@@ -203,15 +202,17 @@ def binary_auc(scored: DataFrame, label: str = "label", score: str = "score") ->
     return grouped_auc(one, ["__all"], "label", "score").drop("__all")
 
 
-def weighted_auc(scored: DataFrame, classes: list[str], label: str = "label", scores: str = "scores") -> DataFrame:
-    """One-vs-rest AUC weighted by class support; ``scores`` lists a probability per class."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("class"), (F.col(label) == c).cast("int").alias("hit"), F.get(scores, F.lit(i)).alias("score"))
-            for i, c in enumerate(classes)
-        ]
-    )
-    per_class = grouped_auc(scored.select(F.inline(rows)), ["class"], "hit", "score")
+def weighted_auc(
+    scored: DataFrame, classes: list[str] | None = None, label: str = "label", scores: str = "scores"
+) -> DataFrame:
+    """One-vs-rest AUC weighted by class support; ``scores`` has a probability per class.
+
+    ``label`` is the place of a row's class in ``scores``, or its name if ``classes`` lists the names.
+    """
+    if classes:
+        scored = scored.withColumn(label, F.array_position(F.lit(classes), F.col(label)) - 1)
+    cells = scored.select(label, F.posexplode(scores).alias("class", "score"))
+    per_class = grouped_auc(cells.withColumn("hit", (F.col(label) == F.col("class")).cast("int")), ["class"], "hit", "score")
     usable = per_class.where(F.col("auc").isNotNull())
     return usable.agg((F.sum(F.col("auc") * F.col("n_positive")) / F.sum("n_positive")).alias("auc"))
 
@@ -220,44 +221,46 @@ def weighted_auc(scored: DataFrame, classes: list[str], label: str = "label", sc
 
 
 @dataclass
-class Fitted:
-    """Predictions of one trained model on the test rows."""
+class Prepared:
+    """Encoded training and test rows of one source, written once for all models.
+
+    ``y`` is the number, or the place of the class among the training classes in text order.
+    """
 
-    predictions: DataFrame
-    classes: list[str]
+    train: DataFrame
+    test: DataFrame
+    task: str
+    n_classes: int
 
 
-def _classes(train: DataFrame, target: str) -> list[str]:
-    rows = text_counts(train, [target], digest=False).where(F.col("value").isNotNull())
-    return sorted(r["value"] for r in rows.collect())
+def _n_classes(train: DataFrame, target: str) -> int:
+    return train.select(F.count_distinct(F.col(target).cast("string"))).first()[0]
 
 
-def _fit_predict(train: DataFrame, test: DataFrame, roles: ColumnRoles, target: str, task: str, model) -> Fitted:
-    """Encode with statistics of the training rows, fit, predict the test rows."""
+def _prepare(train: DataFrame, test: DataFrame, roles: ColumnRoles, target: str, task: str) -> Prepared:
+    """Encode with statistics of the training rows; classes are numbered in a table, not in the plan."""
     encoder = fit_encoder(train, roles.without(target))
-    if task == "classification":
-        classes = _classes(train, target)
-        index = {c: float(i) for i, c in enumerate(classes)}
-        pairs = [x for c, i in index.items() for x in (F.lit(c), F.lit(i))]
-        label = F.create_map(*pairs)[F.col(target).cast("string")]
-    else:
-        classes, label = [], as_number(F.col(target))
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.select(
-            label.alias("y"), F.col(target).cast("string").alias("truth"),
-            array_to_vector(encoder.features(df)).alias("features"),
-        ).where(F.col("y").isNotNull())
-
-    fitted = model.setFeaturesCol("features").setLabelCol("y").fit(prepared(train).drop("truth"))
-    out = fitted.transform(prepared(test))
-    if task == "classification":
-        names = F.array(*[F.lit(c) for c in classes])
-        predicted = F.get(names, F.col("prediction").cast("int"))
-        scores = vector_to_array("probability") if "probability" in out.columns else F.array()
-        out = out.select(F.col("truth").alias("label"), predicted.alias("prediction"), scores.alias("scores"))
-    else:
-        out = out.select(F.col("y").alias("label"), "prediction")
-    return Fitted(durable(out), classes)
+    if task != "classification":
+        y = as_number(F.col(target)).cast("double").alias("y")
+        sides = [encoder.vectors(df, y).where(F.col("y").isNotNull()) for df in (train, test)]
+        return Prepared(*sides, task, 0)
+    counts = value_counts(train, [target], nulls=False)
+    steps = value_steps(counts)
+    sides = []
+    for df in (train, test):
+        numbered = values_to(df, steps, {"__y": (target, F.col(target).cast("string"))}, F.col("place"))
+        sides.append(encoder.vectors(numbered, F.col("__y").cast("double").alias("y")).where(F.col("y").isNotNull()))
+    return Prepared(*sides, task, counts.count())
+
+
+def _predict(data: Prepared, model) -> DataFrame:
+    """``(label, prediction[, scores])`` of the test rows, classes as their places."""
+    fitted = model.setFeaturesCol("features").setLabelCol("y").fit(data.train)
+    out = fitted.transform(data.test).withColumnRenamed("y", "label")
+    if data.task != "classification":
+        return durable(out.select("label", "prediction"))
+    scores = vector_to_array("probability") if "probability" in out.columns else F.array().cast("array<double>")
+    return durable(out.select("label", "prediction", scores.alias("scores")))
 
 
 def _note(dropped: int, aligned: int) -> str:
@@ -323,26 +326,25 @@ def _source_scores(train, test, roles, target, task, n_test, max_depth, seed):
     except ValueError as error:
         if task != "classification":
             return [(LINEAR_R2, None, str(error))]
-        headline = BINARY_F1 if len(_classes(train, target)) == 2 else MACRO_F1
+        headline = BINARY_F1 if _n_classes(train, target) == 2 else MACRO_F1
         return [(m, None, str(error)) for m in (headline, *EXTRA.values())]
 
 
 def _fitted_scores(train, test, roles, target, task, n_test, max_depth, seed):
     if task != "classification":
-        fitted = _fit_predict(train, test, roles, target, task, LinearRegression(maxIter=100))
-        return [(LINEAR_R2, regression_scores(fitted.predictions).first()["r2"], "")]
-    n_classes = len(_classes(train, target))
-    headline = BINARY_F1 if n_classes == 2 else MACRO_F1
+        predictions = _predict(_prepare(train, test, roles, target, task), LinearRegression(maxIter=100))
+        return [(LINEAR_R2, regression_scores(predictions).first()["r2"], "")]
     if n_test < 5:
+        headline = BINARY_F1 if _n_classes(train, target) == 2 else MACRO_F1
         problem = "fewer than 5 test rows are left"
         return [(m, None, problem) for m in (headline, *EXTRA.values())]
-    tree = DecisionTreeClassifier(maxDepth=max_depth, maxBins=64, seed=seed)
-    fitted = _fit_predict(train, test, roles, target, task, tree)
-    scores = classification_scores(fitted.predictions).first()
-    if n_classes == 2:
-        f1 = positive_f1(fitted.predictions, max(fitted.classes)).first()["f1"]
+    data = _prepare(train, test, roles, target, task)
+    predictions = _predict(data, DecisionTreeClassifier(maxDepth=max_depth, maxBins=64, seed=seed))
+    scores = classification_scores(predictions).first()
+    if data.n_classes == 2:
+        headline, f1 = BINARY_F1, positive_f1(predictions, 1.0).first()["f1"]  # the last class in text order
     else:
-        f1 = scores["f1_macro"]
+        headline, f1 = MACRO_F1, scores["f1_macro"]
     return [(headline, f1, ""), *[(label, scores[key], "") for key, label in EXTRA.items()]]
 
 
@@ -385,30 +387,35 @@ def tstr_full(
     Rows without a target are dropped on both sides.
     """
     spark = train.sparkSession
+    kinds, prepared = ("RandomForest", "baseline"), {}
+    for source, frame in {REAL: train, **copies}.items():
+        if target not in frame.columns:
+            continue
+        fit_rows = frame.where(F.col(target).isNotNull())
+        if fit_rows.limit(10).count() < 10:
+            continue
+        if task == "classification" and _n_classes(fit_rows, target) < 2:
+            continue
+        test = holdout.where(F.col(target).isNotNull())
+        if task == "classification":
+            test = drop_unseen_targets(fit_rows, test, target)
+        try:
+            prepared[source] = _prepare(fit_rows, test, roles, target, task)  # encoded once for both models
+        except ValueError:  # no other column can be encoded
+            prepared[source] = None
     rows = []
-    for kind in ("RandomForest", "baseline"):
-        for source, frame in {REAL: train, **copies}.items():
-            if target not in frame.columns:
-                continue
-            fit_rows = frame.where(F.col(target).isNotNull())
-            if fit_rows.limit(10).count() < 10:
-                continue
-            if task == "classification" and len(_classes(fit_rows, target)) < 2:
-                continue
-            test = holdout.where(F.col(target).isNotNull())
-            if task == "classification":
-                test = drop_unseen_targets(fit_rows, test, target)
-            try:
-                fitted = _fit_predict(fit_rows, test, roles, target, task, _model(task, kind, trees, seed))
-            except ValueError:  # no other column can be encoded
+    for kind in kinds:
+        for source, data in prepared.items():
+            if data is None:
                 rows.append((table, target, task, kind, source, None, None, None, None, None))
                 continue
+            predictions = _predict(data, _model(task, kind, trees, seed))
             if task == "classification":
-                s = classification_scores(fitted.predictions).first()
-                auc = weighted_auc(fitted.predictions, fitted.classes).first()["auc"]
+                s = classification_scores(predictions).first()
+                auc = weighted_auc(predictions).first()["auc"]
                 rows.append((table, target, task, kind, source, s["accuracy"], s["f1_weighted"], auc, None, None))
             else:
-                s = regression_scores(fitted.predictions).first()
+                s = regression_scores(predictions).first()
                 rows.append((table, target, task, kind, source, None, None, None, s["rmse"], s["r2"]))
     frame = spark.createDataFrame(rows, FULL_SCHEMA)
     metric = "accuracy" if task == "classification" else "r2"
