@@ -6,9 +6,12 @@ once, and every copy becomes one more counter column next to the real one.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from twinlens.session import durable
 
 REAL = "real"
 _BINS = 10
+_CELLS_HELD = 1_000_000  # counted cells of column pairs that a task holds: 7 numbers each
 _PAIRS_PER_PASS = 300  # keeps one aggregate inside a compilable method
 
 
@@ -34,9 +38,13 @@ def tag_sources(real: DataFrame, copies: dict[str, DataFrame], columns: list[str
     return reduce(DataFrame.union, frames)
 
 
-def _counters(sources: list[str]) -> list[Column]:
-    """One conditional count per source, named n_0 (real), n_1, n_2, ..."""
-    return [F.count_if(F.col("source") == s).alias(f"n_{i}") for i, s in enumerate(sources)]
+def _counters(sources: list[str], weight: str | None = None) -> list[Column]:
+    """One conditional count (or sum of ``weight``) per source, named n_0 (real), n_1, n_2, ..."""
+    if weight:
+        counts = [F.sum(F.when(F.col("source") == s, F.col(weight)).otherwise(0)) for s in sources]
+    else:
+        counts = [F.count_if(F.col("source") == s) for s in sources]
+    return [n.alias(f"n_{i}") for i, n in enumerate(counts)]
 
 
 def _per_copy(wide: DataFrame, names: list[str], ids: list[str]) -> DataFrame:
@@ -115,9 +123,11 @@ def tv_complement(real: DataFrame, copies: dict[str, DataFrame], columns: list[s
     return tv_from_cells(long, names, ["column"], ["value"])
 
 
-def tv_from_cells(long: DataFrame, names: list[str], ids: list[str], values: list[str]) -> DataFrame:
+def tv_from_cells(
+    long: DataFrame, names: list[str], ids: list[str], values: list[str], weight: str | None = None
+) -> DataFrame:
     sources = [REAL, *names]
-    counts = durable(long.groupBy(*ids, *values).agg(*_counters(sources)))  # read twice
+    counts = durable(long.groupBy(*ids, *values).agg(*_counters(sources, weight)))  # read twice
     totals = counts.groupBy(*ids).agg(*[F.sum(f"n_{i}").alias(f"t_{i}") for i in range(len(sources))])
     joined = counts.join(F.broadcast(totals), ids)  # one row per column or column pair
     gaps = [
@@ -191,6 +201,57 @@ def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
     return F.when(value.isNotNull(), F.when(high > low, clamped).otherwise(F.lit(0))).cast("int")
 
 
+def _pair_counter(batches: Iterator[pa.RecordBatch], pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``(source, pair, a, b)`` over a task's rows; columns are 64-bit codes, NULL included.
+
+    Each column of a batch is numbered once, so a pair is one number per row and its
+    counts are one tally. Tallies are merged as they grow and handed on when they
+    outgrow ``_CELLS_HELD``.
+    """
+    kept: list[np.ndarray] = []
+
+    def merged() -> np.ndarray:
+        rows = np.concatenate(kept)
+        order = np.lexsort(rows[:, :6].T[::-1])
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, (rows[1:, :6] != rows[:-1, :6]).any(1)))
+        out = rows[first]
+        out[:, 6] = np.add.reduceat(rows[:, 6], first)
+        return out
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        sides = [pa.array(rows[:, k], mask=rows[:, k + 2] == 1) for k in (2, 3)]
+        numbers = [pa.array(rows[:, k]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*numbers, *sides, pa.array(rows[:, 6])], ["source", "pair", "a", "b", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, names = [], []
+        for column in batch.columns:
+            values, which = np.unique(np.asarray(column.fill_null(0)), return_inverse=True)
+            # a NULL is told apart from every code by its own flag
+            which[np.asarray(column.is_null())] = len(values)
+            codes.append(which)
+            names.append((np.append(values, 0), np.append(np.zeros(len(values), np.int64), 1)))
+        for number, (i, j) in enumerate(pairs):
+            width = len(names[i + 1][0]), len(names[j + 1][0])
+            cell = (codes[0] * width[0] + codes[i + 1]) * width[1] + codes[j + 1]
+            found, n = np.unique(cell, return_counts=True)
+            b, rest = found % width[1], found // width[1]
+            a, source = rest % width[0], rest // width[0]
+            kept.append(np.column_stack([
+                names[0][0][source], np.full(len(found), number), names[i + 1][0][a], names[j + 1][0][b],
+                names[i + 1][1][a], names[j + 1][1][b], n,
+            ]))
+        if sum(map(len, kept)) > _CELLS_HELD:
+            kept[:] = [merged()]
+            if len(kept[0]) > _CELLS_HELD // 2:
+                yield batch_of(kept.pop())
+    if kept:
+        yield batch_of(merged())
+
+
 def contingency_similarity(
     real: DataFrame,
     copies: dict[str, DataFrame],
@@ -199,8 +260,9 @@ def contingency_similarity(
 ) -> DataFrame:
     """1 - half the L1 distance of the joint shares; numeric sides cut into 10 bins.
 
-    The bins span the real minimum to maximum.  Cells are numbers (pair, bin or
-    64-bit hash of the category) and are counted before they are shuffled.
+    The bins span the real minimum to maximum. Cells are numbers (bin or 64-bit hash of
+    the category) and each task tallies all its pairs: rows times pairs exist nowhere,
+    only counted cells are shuffled.
     """
     columns = sorted({c for pair in pairs for c in pair})
     tagged = tag_sources(real, copies, columns)
@@ -216,14 +278,13 @@ def contingency_similarity(
             cells.append(bin_of(numeric_or_epoch(tagged, c), low, high, F.lit(_BINS)).cast("bigint").alias(c))
         else:
             cells.append(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string"))).alias(c))
-    labels = labels.select("source", *cells)
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    long = labels.select("source", F.inline(rows))
-    scores = tv_from_cells(long, list(copies), ["pair"], ["a", "b"])
+    sources = [REAL, *copies]
+    number = (F.array_position(F.lit(sources), F.col("source")) - 1).cast("bigint")
+    places = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    counter = partial(_pair_counter, pairs=places)
+    tallies = labels.select(number.alias("source"), *cells).mapInArrow(counter, "source long, pair long, a long, b long, n long")
+    long = tallies.select(F.get(F.lit(sources), F.col("source").cast("int")).alias("source"), F.col("pair").cast("int").alias("pair"), "a", "b", "n")
+    scores = tv_from_cells(long, list(copies), ["pair"], ["a", "b"], "n")
     names = F.lit([a for a, _ in pairs]), F.lit([b for _, b in pairs])
     named = [F.get(n, "pair").alias(f"column_{k}") for k, n in enumerate(names, 1)]
     return scores.select("synth", *named, "score")

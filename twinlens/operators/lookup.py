@@ -123,6 +123,15 @@ def values_to(df: DataFrame, steps: DataFrame, values: dict[str, tuple[str, Colu
     return rows.select(*df.columns, *picked)
 
 
+def gather(rows: DataFrame, answers: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Bring the answers (``__rid``, ``__cell``, ...) back to ``rows`` (``__rid``, ...) as columns; one shuffle.
+
+    ``columns`` has, in order of the cell numbers, an expression over ``answers`` for each new column.
+    """
+    picked = [F.first(F.when(F.col("__cell") == i, value), ignorenulls=True).alias(c) for i, (c, value) in enumerate(columns.items())]
+    return rows.join(answers.groupBy("__rid").agg(*picked), "__rid", "left").drop("__rid")
+
+
 def short_tables(counts: DataFrame) -> dict[str, list[tuple[str | None, int]]]:
     """(value, n) in order of the columns whose value table is short in rows and characters."""
     length = F.sum(F.coalesce(F.length("value"), F.lit(0)))
@@ -134,6 +143,6 @@ def short_tables(counts: DataFrame) -> dict[str, list[tuple[str | None, int]]]:
     return {c: sorted(t, key=lambda r: (r[0] is None, r[0] or "")) for c, t in tables.items()}
 
 
-def middle(steps: DataFrame) -> Column:
+def middle() -> Column:
     """The middle of a step as a share of its column's positions."""
     return (F.col("start") + F.col("n") / 2) / F.col("total")

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from twinlens.functions.hashing import hash_uniform
 from twinlens.functions.values import as_number
 from twinlens.model import ColumnRoles
-from twinlens.operators.counting import exact_percentiles, text_counts
+from twinlens.operators.counting import exact_percentiles, long_cells, text_counts
 from twinlens.operators.encode import Encoder, fit_encoder
 from twinlens.operators.knn import knn_distances
+from twinlens.operators.skew import heavy_keys, spread_join
 from twinlens.operators.utility import binary_auc
 from twinlens.session import durable
 
 TOLERANCE = 0.01
 _CELL_SPAN = 10  # coarse cells are this many tolerance bands wide
+_CELL_COLUMNS = 3  # numbers that make up a coarse cell; the others are compared inside it
 _HOT_CELL = 5_000
 MIA_TREES = 200
 MIA_DEPTH = 10
@@ -232,19 +234,34 @@ def new_row_synthesis(
     )
 
 
+def _selective(seen: DataFrame, numeric: list[str], width: float) -> list[str]:
+    """The columns with the most evenly filled coarse cells: the smallest chance that two rows share one."""
+    if len(numeric) <= _CELL_COLUMNS:
+        return numeric
+    cells = long_cells(seen, {c: _log_cell(F.col(c), width) for c in numeric}).groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    share = cells.groupBy("column").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("share"))
+    rows = sorted(share.collect(), key=lambda r: (r["share"], r["column"]))  # one row per column
+    return [r["column"] for r in rows[:_CELL_COLUMNS]]
+
+
 def _matched_in_cells(
     open_rows: DataFrame, seen: DataFrame, numeric: list[str], labels: list[Column], tolerance: float
 ) -> DataFrame:
-    """Distinct ``row`` keys of open rows with a real point inside their band."""
+    """Distinct ``row`` keys of open rows with a real point inside their band.
+
+    Cells are made of the categories and of the few numbers that tell real rows apart
+    best, so a row asks for at most 2 ^ ``_CELL_COLUMNS`` cells, however many numbers it has.
+    """
     width = _CELL_SPAN * log((1 + tolerance) / (1 - tolerance))
+    chosen = _selective(seen, numeric, width)
     points = seen.select(
-        _key(*labels, *[_log_cell(F.col(c), width) for c in numeric]).alias("cell"),
+        _key(*labels, *[_log_cell(F.col(c), width) for c in chosen]).alias("cell"),
         *[F.col(c).alias(f"r_{c}") for c in numeric],
     ).distinct()
     looking = open_rows
-    for c in numeric:
+    for c in chosen:
         looking = looking.withColumn(f"__cell_{c}", F.explode(_cells_in_reach(F.col(c), tolerance, width)))
-    looking = looking.select("row", *numeric, _key(*labels, *[F.col(f"__cell_{c}") for c in numeric]).alias("cell"))
+    looking = looking.select("row", *numeric, _key(*labels, *[F.col(f"__cell_{c}") for c in chosen]).alias("cell"))
     crowded = (
         points.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("size"))
@@ -281,9 +298,12 @@ def sensitive_shares(real: DataFrame, categorical: list[str]) -> DataFrame:
 
 
 def pick_sensitive(
-    real: DataFrame, categorical: list[str], wanted: str | None = None
+    real: DataFrame, categorical: list[str], wanted: str | None = None, most_keys: int | None = None
 ) -> tuple[str, list[str], str] | None:
-    """``(sensitive, keys, how)``: the user's column if usable, else the most balanced one."""
+    """``(sensitive, keys, how)``: the user's column if usable, else the most balanced one.
+
+    All other columns are keys, or the first ``most_keys`` of them.
+    """
     shares = {r["column"]: (r["share"], r["position"]) for r in sensitive_shares(real, categorical).collect()}
     if not shares:
         return None
@@ -292,7 +312,7 @@ def pick_sensitive(
     else:
         sensitive = min(shares, key=shares.get)
         how = f"auto ('{wanted}' not usable)" if wanted else "auto"
-    return sensitive, [c for c in categorical if c != sensitive][:3], how
+    return sensitive, [c for c in categorical if c != sensitive][:most_keys], how
 
 
 def _labels(df: DataFrame, keys: list[str], sensitive: str) -> DataFrame:
@@ -321,33 +341,45 @@ def categorical_cap(real: DataFrame, attacker: DataFrame, keys: list[str], sensi
     )
 
 
+def _masked(labels: DataFrame, names: list[str], subsets: list[tuple[str, ...]], keep: list[str]) -> DataFrame:
+    """A row per subset of the keys, ``mask`` being its values and its number."""
+    masks = [
+        F.to_json(F.array(F.lit(str(i)), *[F.col(n) if n in subset else F.lit(None).cast("string") for n in names]))
+        for i, subset in enumerate(subsets)
+    ]
+    return labels.select(*keep, F.explode(F.array(*masks)).alias("mask"))
+
+
 def generalized_cap(real: DataFrame, attacker: DataFrame, keys: list[str], sensitive: str) -> DataFrame:
     """Same attack, using the attacker rows at the smallest Hamming distance on the keys.
 
-    For distance h only the key subsets of size k-h are joined (k <= 3): at the
-    smallest distance with a match the subsets match disjoint rows, so counts add.
+    Level by level: at distance h all key subsets of size k-h are looked up in one join,
+    and only targets without any match go on to the next. At the smallest distance with
+    a match the subsets match disjoint rows, so counts add. Keys that many targets share
+    are spread over tasks.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    known = _labels(attacker, keys, sensitive)
-    frame = _labels(real, keys, sensitive)
-    chance = F.lit(None).cast("double")
+    known = durable(_labels(attacker, keys, sensitive))
+    open_ = durable(_labels(real, keys, sensitive).withColumn("target", F.monotonically_increasing_id()))
+    parts = []
     for distance in range(len(names) + 1):
-        total, hits = F.lit(0), F.lit(0)
-        for i, subset in enumerate(combinations(names, len(names) - distance)):
-            t, h = f"t_{distance}_{i}", f"h_{distance}_{i}"
-            if subset:
-                frame = frame.join(known.groupBy(*subset).agg(F.sum("n").alias(t)), list(subset), "left")
-                frame = frame.join(known.groupBy(*subset, "s").agg(F.sum("n").alias(h)), [*subset, "s"], "left")
-            else:
-                frame = frame.withColumn(t, known.agg(F.sum("n")).scalar())
-                frame = frame.join(known.groupBy("s").agg(F.sum("n").alias(h)), "s", "left")
-            total = total + F.coalesce(F.col(t), F.lit(0))
-            hits = hits + F.coalesce(F.col(h), F.lit(0))
-        chance = F.coalesce(chance, F.when(total > 0, hits / total))
-    scored = frame.withColumn("chance", chance)
-    return scored.agg(
-        F.coalesce(F.sum(F.when(F.col("chance").isNotNull(), F.col("n"))), F.lit(0)).alias("n_matched"),
-        (1 - F.try_divide(F.sum(F.col("n") * F.col("chance")), F.sum(F.when(F.col("chance").isNotNull(), F.col("n"))))).alias("score"),
+        subsets = list(combinations(names, len(names) - distance))
+        seen = _masked(known, names, subsets, ["s", "n"]).groupBy("mask", "s").agg(F.sum("n").alias("hits"))
+        totals = seen.groupBy("mask").agg(F.sum("hits").alias("total"))
+        asked = durable(_masked(open_, names, subsets, ["target", "s"]))
+        heavy = heavy_keys(asked, ["mask"])
+        met = spread_join(asked, totals, ["mask"], "inner", heavy)
+        met = met.groupBy("target").agg(F.sum("total").alias("total"))
+        right = spread_join(asked, seen, ["mask", "s"], "inner").groupBy("target").agg(F.sum("hits").alias("hits"))
+        level = durable(open_.join(met, "target", "left").join(right, "target", "left"))
+        parts.append(level.where("total > 0").select("n", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("chance")))
+        open_ = level.where("total IS NULL").select(*open_.columns)
+        if open_.isEmpty():
+            break
+    matched = reduce(DataFrame.union, parts)
+    return matched.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_matched"),
+        (1 - F.try_divide(F.sum(F.col("n") * F.col("chance")), F.sum("n"))).alias("score"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_draw
 from twinlens.model import ColumnRoles
-from twinlens.operators.lookup import short_tables, value_counts, value_steps, values_at
+from twinlens.operators.lookup import gather, short_tables, value_counts, value_steps, values_at
 from twinlens.session import durable
 
 _DIGITS = 4  # 65,536 index buckets: 15 million rows each for 10^12 rows
@@ -43,12 +43,6 @@ def _slots(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {kind: f"__slot_{i}" for i, kind in enumerate(kinds)}
 
 
-def _with_answers(rows: DataFrame, answers: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Gather the answers (``__rid``, ``__cell``, ...) of each row into columns; one shuffle."""
-    picked = [F.first(F.when(F.col("__cell") == i, value), ignorenulls=True).alias(c) for i, (c, value) in enumerate(columns.items())]
-    return rows.join(answers.groupBy("__rid").agg(*picked), "__rid", "left").drop("__rid")
-
-
 def _numbered(synth: DataFrame, columns: list[str], draws: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """``synth`` without ``columns`` under row numbers, and its draws as cells ``(__rid, __cell, __at)``."""
     kept = [c for c in synth.columns if c not in columns]
@@ -89,7 +83,7 @@ def refill(
         *[F.coalesce(*[F.when(F.col("__cell") == i, F.col(f"__value_{i}")) for i in of_type[k]]).alias(slot) for k, slot in slots.items()],
     )
     values = {c: F.col(slots[real.schema[c].dataType.simpleString()]) for c in columns}
-    out = _with_answers(rows, answers, values)
+    out = gather(rows, answers, values)
     order = order or [*kept, *columns]
     return out.select(*[c for c in order if c in out.columns])
 
@@ -122,7 +116,7 @@ def refill_by_value(synth: DataFrame, real: DataFrame, columns: list[str], synth
         asked = cells.withColumn("column", F.get(F.lit(wide), "__cell"))
         answers = values_at(asked, value_steps(counts.where(F.col("column").isin(wide))), "__at")
         values = {c: F.col("value").cast(real.schema[c].dataType) for c in wide}
-        out, draws = _with_answers(rows, answers, values), {c: F.col(f"__short_{c}") for c in short}
+        out, draws = gather(rows, answers, values), {c: F.col(f"__short_{c}") for c in short}
     if short:
         # a generated row keeps each digest a stored value instead of one call per table step
         stored = F.array(F.struct(*[d.alias(f"__draw_{c}") for c, d in draws.items()]))
