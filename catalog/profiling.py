@@ -90,7 +90,7 @@ def _strategy(spark, sf):
 
 
 def _dataset_links(spark, sf):
-    return profile_dataset(keyed_tables(spark, sf))["links"].where("parent_column = 'custkey'")
+    return profile_dataset(keyed_tables(spark, sf))["links"]
 
 
 def _roles(spark, sf):

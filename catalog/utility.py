@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import LINE_ROLES, LINE_SPLIT_SQL, ORDER_ROLES, ORDERS_SPLIT_SQL, lineitem_boot, lineitem_split, load, orders_split, rounded, uniform_sql
+from catalog.base import LINE_COPIES_SQL, LINE_ROLES, LINE_SPLIT_SQL, ORDER_ROLES, ORDERS_SPLIT_SQL, lineitem_boot, lineitem_split, load, orders_split, rounded, uniform_sql
 from catalog.privacy import customer_split, orders_copies
 from twinlens.operators import utility
+from twinlens.operators.refill import bootstrap_table
 
 _ROLES = LINE_ROLES
 
@@ -86,7 +87,7 @@ def _gaps(spark, sf):
 
 def _tstr(spark, sf):
     train, held, boot = orders_copies(spark, sf)
-    return rounded(utility.tstr(train, held, {"boot": boot}, ORDER_ROLES, "o_orderstatus", "classification", "ORDERS", max_depth=5))
+    return rounded(utility.tstr(train, held, {"boot": boot}, ORDER_ROLES, "o_orderstatus", "classification", "ORDERS"))
 
 
 def _tstr_regression(spark, sf):
@@ -101,7 +102,7 @@ def _tstr_line(spark, sf):
 
     train, held = lineitem_split(spark, sf)
     roles = ColumnRoles(["l_quantity", "l_extendedprice"], [])
-    copies = {"cheap": train.where("l_discount < 0.05")}
+    copies = {"boot": lineitem_boot(train)}
     frame = utility.tstr(train, held, copies, roles, "l_extendedprice", "regression", "LINEITEM")
     return rounded(frame.select("metric", "train_on", "score"), 5)
 
@@ -111,7 +112,8 @@ def _tstr_full(spark, sf):
 
     train, held = customer_split(spark, sf)
     roles = ColumnRoles(["c_acctbal", "c_nationkey"], ["c_mktsegment"])
-    return rounded(utility.tstr_full(train, held, {"held": held}, roles, "c_mktsegment", "classification", "CUSTOMER", trees=20))
+    boot = bootstrap_table(train, F.col("c_custkey"), roles.modelable, seed=9, small=["c_mktsegment"])
+    return rounded(utility.tstr_full(train, held, {"boot": boot}, roles, "c_mktsegment", "classification", "CUSTOMER"))
 
 
 QUERIES = {
@@ -168,15 +170,15 @@ SQL = {
     ),
     "u05_cap_training_rows": f"SELECT o_orderkey FROM orders ORDER BY {uniform_sql('o_orderkey', 'train-cap', 0)}, o_orderkey LIMIT 500",
     "u06_tstr_line": (
-        f"WITH {LINE_SPLIT_SQL}, cheap AS (SELECT * FROM train WHERE l_discount < 0.05), "
+        f"WITH {LINE_COPIES_SQL}, "
         + ", ".join(
             f"m_{s} AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM {s}), "
             f"s_{s} AS (SELECT 1 - sum((l_extendedprice - a - b * l_quantity) ** 2) / (var_pop(l_extendedprice) * count(*)) AS score FROM held, m_{s})"
-            for s in ("train", "cheap")
+            for s in ("train", "boot")
         )
         + " SELECT 'LinearRegression (R2)' AS metric, 'real' AS train_on, round(score, 5) AS score FROM s_train "
-        "UNION ALL SELECT 'LinearRegression (R2)', 'cheap', round(score, 5) FROM s_cheap "
-        "UNION ALL SELECT 'LinearRegression (R2)', 'gap(real-cheap)', round(s_train.score - s_cheap.score, 5) FROM s_train, s_cheap"
+        "UNION ALL SELECT 'LinearRegression (R2)', 'boot', round(score, 5) FROM s_boot "
+        "UNION ALL SELECT 'LinearRegression (R2)', 'gap(real-boot)', round(s_train.score - s_boot.score, 5) FROM s_train, s_boot"
     ),
     "u07_classification_scores": (
         f"WITH p AS (SELECT o_orderstatus AS l, {_GUESS} AS g FROM orders), c AS (SELECT DISTINCT l AS c FROM p UNION SELECT DISTINCT g FROM p), "
