@@ -54,7 +54,7 @@ def test_jaccard_equals_brute_force(spark, params):
     assert joined(jaccard.near_duplicates(docs, params)) == components(rows)
 
 
-@pytest.mark.parametrize("params", [JaccardParams(hot=4, chunk=5), JaccardParams(chunk=5), JaccardParams(pairwise=3, block=4), JaccardParams(pairwise=2, block=99)], ids=["salted", "long lists", "blocks", "one block"])
+@pytest.mark.parametrize("params", [JaccardParams(hot=4, chunk=5), JaccardParams(chunk=5), JaccardParams(pairwise=3, block=500), JaccardParams(pairwise=2, block=12_000)], ids=["salted", "long lists", "blocks", "one block"])
 def test_jaccard_hot_group(spark, params):
     """One group of near copies, cut into salted parts and rows of a few members."""
     rng = random.Random(1)
@@ -110,6 +110,40 @@ def test_secrets_battery_tells_random_from_structured(spark):
     assert len(got) >= 0.95 * len(random_ids)
 
 
+def test_secrets_encodings_and_names(spark):
+    """Keys of every encoding are found; names, paths and words are left alone."""
+    rng = random.Random(8)
+    capitals, letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {
+        "base36": letters + digits, "BASE36": capitals + digits, "base32": letters + "234567", "BASE32": capitals + "234567",
+        "base62": capitals + letters + digits, "base64": capitals + letters + digits + "+/", "HEX": digits + "ABCDEF",
+    }
+    words = "user account order history customer very long function with args summer holiday photos images static config".split()
+    tokens = [(k, "".join(rng.choice(a) for _ in range(rng.choice([24, 32, 40])))) for k, a in alphabets.items() for _ in range(120)]
+    for _ in range(150):
+        w = [rng.choice(words) for _ in range(6)]
+        big = [x.capitalize() for x in w]
+        tokens += [("name", "".join(big)), ("name", "".join(big) + "42"), ("name", "/".join(w[:2] + ["2021", *big[:3]])), ("name", "_".join(w)),
+                   ("name", "".join(w)), ("name", "".join(w) + "2024"), ("name", "MyVeryLongFunctionName3WithArgs"), ("name", "images/2021/Summer/HolidayPhotos")]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.digests(docs.repartition(4)).where("n_random > 0").collect()}
+    for kind in alphabets:
+        of_kind = [i for i, (k, _) in enumerate(tokens) if k == kind]
+        assert sum(i in found for i in of_kind) >= 0.95 * len(of_kind), kind
+    names = [i for i, (k, _) in enumerate(tokens) if k == "name"]
+    assert sum(i in found for i in names) <= 0.01 * len(names)
+
+
+def test_redact_goes_row_by_row(spark):
+    rows = [(None, "a token=abcdefg b", 1), (1, "co words token=zzzzzz", 2), (1, "token=yyyyyy is first", 3), (None, None, 4), (2, "x " + "token=abcdef " * 3000, 5)]
+    docs = spark.createDataFrame([(a, b, c, "clash", "clash") for a, b, c in rows], "doc_id long, text string, found int, base string, __found string")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and {r.base for r in out.collect()} == {"clash"}
+    got = {r.found: r.text for r in out.collect()}
+    assert got == {1: "a [SECRET] b", 2: "co words [SECRET]", 3: "[SECRET] is first", 4: None, 5: "x " + "[SECRET] " * 3000}
+    assert secrets.redact(docs.where("false")).count() == 0
+
+
 def test_redact(spark):
     rows = [(1, "a token=abcdef b", 5), (2, "clean", 6), (3, None, 7), (1, "a token=abcdef b", 8)]
     out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, found int"))
@@ -127,6 +161,17 @@ def test_quality_counts(odd_docs, no_docs, spark):
     assert quality_rules.judge(no_docs).count() == 0
 
 
+def test_low_variety_is_judged_at_any_length(spark):
+    """A shuffled list of 60 words is rejected at 1,999 and at 2,000 words and beyond; prose-like variety is kept."""
+    rng = random.Random(3)
+    few = [f"{a}{b}" for a in ("word", "line", "tree") for b in "abcdefghijklmnopqrst"]
+    rows = [(n, " ".join(rng.choice(few) for _ in range(n))) for n in (1999, 2000, 20_000)]
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    rows += [(n + 1, " ".join(rng.choice(many) for _ in range(n))) for n in (2500, 19_000)]
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [kept[n][0] for n in (1999, 2000, 20_000)] == [False] * 3 and kept[2501] == (True, False) and kept[19_001] == (True, False)
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     rng = random.Random(2)
     item = [f"i{k}" for k in range(40)]

@@ -1,26 +1,33 @@
 """Secret scan with a randomness test battery, in DataFrame functions only.
 
 Three patterns give the base spans. The battery adds spans of kind ``random``: every
-token of 20 or more characters of an encoding (hexadecimal, base 32, base 64, judged
-by the character classes it mixes) is tested for
+token of 20 or more characters is tested under the smallest encoding that covers it
+(hexadecimal; base 32 and base 36 in either case, if it has digits; base 64) for
 
 * uniform use of the alphabet (chi-squared statistic, exact mean and variance under
-  equal probabilities, upper tail),
-* the number of runs above / below the middle of the alphabet (two tails),
+  equal probabilities, upper tail), and of three pooled parts of it, such as vowels,
+  consonants and digits: short tokens fill few cells,
+* the number of runs above / below the middle of the alphabet (two tails), and the number
+  of runs of digits and other signs (lower tail),
 * correlation of neighbouring symbols (two tails).
 
-A token's p-value is three times the least of the three. Structured strings get small
+A token's p-value is five times the least of the five. Structured strings get small
 p-values, so within each length band (powers of two) the Benjamini-Hochberg procedure at
-``FALSE_DISCOVERY`` over all tokens of the table picks the structured ones; the rest
+``FALSE_DISCOVERY`` over all tokens of the table picks the structured ones, together with
+those below ``LEVEL`` and with mixed-case tokens that mostly consist of words; the rest
 cannot be told from random and are secrets. p-values are kept in steps of 0.1 of
--log10, so one small histogram decides for any number of tokens.
+-log10, so one small histogram decides for any number of tokens. Letters of one case
+without a digit are words or names to this scan, not keys.
 
-Rows: NULL text is the empty text; repeated rows are scanned alike; other columns are
-ignored. Positions are code points, ends exclusive.
+Rows: NULL text is the empty text; every row is scanned and masked by itself, so NULL and
+repeated ``doc_id`` make no difference, nor do the names of other columns; very long texts
+are scanned whole; an empty table gives no rows. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +46,13 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_TOKEN = 20
 TOKEN = "[A-Za-z0-9+/_-]{20,}"
 FALSE_DISCOVERY = 0.01
+LEVEL = 0.005  # a random token has a p-value below this once in 200 times at most
+WORDS = 0.6  # share of characters in words (three letters or more) that makes a mixed-case token a name or a path
 STEPS = 300  # p-values below 1e-30 count as 1e-30
 
 _HEX_SYMBOLS = "0123456789abcdef"
 _BASE32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE36_SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASE64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -79,13 +89,20 @@ def _upper_tail(z: str) -> str:
 
 
 def _step() -> str:
-    """-log10 of a token's p-value in tenths, from its symbols ``y`` and alphabet size ``k``."""
+    """-log10 of a token's p-value in tenths, from its symbols ``y``, alphabet size ``k``, the
+    digits' flags ``f`` and the pooled parts ``w`` of the alphabet (share, times seen)."""
     n = "size(y)"
     chi = (
         f"(k / {n} * aggregate(transform(array_distinct(y), c -> size(filter(y, d -> d = c))), 0D, (s, o) -> s + o * o) - {n})"
     )
     chi_z = f"(({chi} - (k - 1)) / sqrt(2D * (k - 1) * ({n} - 1) / {n}))"
     high = "aggregate(y, 0, (s, d) -> s + int(2 * d >= k))"
+    digit_runs = f"aggregate(sequence(1, {n} - 1), 1, (s, i) -> s + int(f[i] <> f[i - 1]))"
+    digits = "aggregate(f, 0, (s, d) -> s + d)"
+    digit_mean = f"(1 + 2D * fd * ({n} - fd) / {n})"
+    digit_spread = f"((({digit_mean} - 1) * ({digit_mean} - 2)) / ({n} - 1))"
+    digit_z = bind(digits, "fd", f"CASE WHEN {digit_spread} <= 0 THEN 0D ELSE greatest(0D, ({digit_mean} - {digit_runs}) / sqrt({digit_spread})) END")
+    pooled = f"({n} * (aggregate(w, 0D, (s, e) -> s + e.seen * e.seen / ({n} * {n} * e.share)) - 1))"
     runs = f"aggregate(sequence(1, {n} - 1), 1, (s, i) -> s + int((2 * y[i] >= k) <> (2 * y[i - 1] >= k)))"
     mean = f"(1 + 2D * hi * ({n} - hi) / {n})"
     spread = f"((({mean} - 1) * ({mean} - 2)) / ({n} - 1))"
@@ -97,9 +114,10 @@ def _step() -> str:
     var = f"({squares} - {total} * {total} / {n})"
     centred = f"({lagged} - {total} / {n} * (2 * {total} - y[0] - y[{n} - 1]) + ({n} - 1) * {total} * {total} / {n} / {n})"
     serial_z = f"CASE WHEN {var} <= 0 THEN 40D ELSE abs({centred} / {var} + 1D / {n}) * sqrt({n}) END"
-    least = f"least({_upper_tail('z[0]')}, 2 * {_upper_tail('z[1]')}, 2 * {_upper_tail('z[2]')})"
-    capped = f"least({STEPS}, int(floor(-10 * log10(greatest(1e-40D, least(1D, 3 * {least}))))))"
-    return bind(f"array(greatest(0D, {chi_z}), {runs_z}, {serial_z})", "z", capped)
+    # with two degrees of freedom a chi-squared tail is exp(-x / 2)
+    tails = [_upper_tail("z[0]"), *(f"2 * {_upper_tail(f'z[{i}]')}" for i in (1, 2)), _upper_tail("z[3]"), "exp(-z[4] / 2)"]
+    capped = f"least({STEPS}, int(floor(-10 * log10(greatest(1e-40D, least(1D, {len(tails)} * least({', '.join(tails)})))))))"
+    return bind(f"array(greatest(0D, {chi_z}), {runs_z}, {serial_z}, {digit_z}, greatest(0D, {pooled}))", "z", capped)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -108,15 +126,32 @@ def _candidates(docs: DataFrame) -> DataFrame:
         "transform(long, s -> struct(s.start AS start, s.end AS end, substring(text, s.start + 1, s.end - s.start) AS token))"
     )
     encoding = (
-        "CASE WHEN t.token rlike '^([0-9a-f]+|[0-9A-F]+)$' AND t.token rlike '[0-9]' AND t.token rlike '[a-fA-F]' THEN 16 "
-        "WHEN t.token rlike '^[A-Z2-7]+$' AND t.token rlike '[2-7]' AND t.token rlike '[A-Z]' THEN 32 "
-        "WHEN t.token rlike '[a-z]' AND t.token rlike '[A-Z]' AND t.token rlike '[0-9]' THEN 64 END"
+        "CASE WHEN NOT t.token rlike '[0-9]' AND NOT t.token rlike '[a-z].*[A-Z]|[A-Z].*[a-z]' THEN NULL "
+        "WHEN t.token rlike '^([0-9a-f]+|[0-9A-F]+)$' AND t.token rlike '[a-fA-F]' THEN 16 "
+        "WHEN t.token rlike '^([A-Z2-7]+|[a-z2-7]+)$' THEN 32 WHEN t.token rlike '^([A-Z0-9]+|[a-z0-9]+)$' AND t.token rlike '[A-Za-z]' THEN 36 "
+        "WHEN t.token rlike '[a-z]' AND t.token rlike '[A-Z]' THEN 64 END"
     )
-    symbols = (
-        "transform(split(CASE k WHEN 16 THEN lower(t.token) WHEN 32 THEN t.token ELSE translate(t.token, '-_', '+/') END, ''), "
-        f"c -> instr(CASE k WHEN 16 THEN '{_HEX_SYMBOLS}' WHEN 32 THEN '{_BASE32_SYMBOLS}' ELSE '{_BASE64_SYMBOLS}' END, c) - 1)"
+    signs = "split(CASE k WHEN 64 THEN translate(t.token, '-_', '+/') ELSE upper(t.token) END, '')"
+    alphabet = f"CASE k WHEN 16 THEN '{_HEX_SYMBOLS.upper()}' WHEN 32 THEN '{_BASE32_SYMBOLS}' WHEN 36 THEN '{_BASE36_SYMBOLS}' ELSE '{_BASE64_SYMBOLS}' END"
+    symbols = f"transform(x, c -> instr({alphabet}, c) - 1)"
+    flags = "transform(x, c -> int(c >= '0' AND c <= '9'))"
+
+    def left(signs: str) -> str:
+        return f"length(regexp_replace(t.token, '[{signs}]', ''))"
+
+    def part(share: str, seen: str) -> str:
+        return f"named_struct('share', {share}, 'seen', double({seen}))"
+
+    n = "length(t.token)"
+    digits, vowels, upper, lower = (f"({n} - {left(x)})" for x in ("0-9", "AEIOUaeiou", "A-Z", "a-z"))
+    parts = (
+        f"CASE k WHEN 16 THEN array({part('10D / 16', digits)}, {part('6D / 16', left('0-9'))}) "
+        f"WHEN 64 THEN array({part('26D / 64', upper)}, {part('26D / 64', lower)}, {part('12D / 64', left('A-Za-z'))}) "
+        f"ELSE array({part('5D / k', vowels)}, {part('21D / k', f'({left("0-9")} - {vowels})')}, {part('(k - 26D) / k', digits)}) END"
     )
-    scored = bind(symbols, "y", f"struct(t.start AS start, t.end AS end, int(floor(log2(size(y)))) AS band, {_step()} AS step)")
+    wordy = f"k = 64 AND length(regexp_replace(t.token, '[A-Z]?[a-z]{{3,}}|[A-Z][a-z]{{2}}', '')) <= {1 - WORDS} * {n}"
+    step = bind(flags, "f", bind(parts, "w", f"CASE WHEN {wordy} THEN {STEPS} ELSE {_step()} END"))
+    scored = bind(signs, "x", bind(symbols, "y", f"struct(t.start AS start, t.end AS end, int(floor(log2(size(y)))) AS band, {step} AS step)"))
     tested = f"filter(transform(named, t -> {bind(encoding, 'k', f'CASE WHEN k IS NOT NULL THEN {scored} END')}), x -> x IS NOT NULL)"
     frame = docs.withColumn("long", _spans(3, TOKEN, 0, LEAST_TOKEN, TOKEN))
     return frame.withColumn("named", marked).withColumn("tokens", F.expr(tested)).drop("long", "named")
@@ -136,9 +171,9 @@ def _structured(tokens: DataFrame) -> dict[int, int]:
     return {r.band: r.least for r in kept.groupBy("band").agg(F.min("step").alias("least")).collect()}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and ``found``: array<struct<start, kind, end>> of all spans by start, then kind (index in KINDS)."""
-    frame = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _with_found(frame: DataFrame) -> DataFrame:
+    """``frame`` (text, never NULL, and others) with ``found``: all spans of the row's text; without ``text``."""
+    others = [c for c in frame.columns if c != "text"]
     frame = frame.withColumn(
         "base",
         F.concat(
@@ -147,14 +182,20 @@ def scan(docs: DataFrame) -> DataFrame:
             _spans(2, "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
         ),
     )
-    frame = durable(_candidates(frame).select("doc_id", "base", "tokens"))
+    frame = durable(_candidates(frame).select(*others, "base", "tokens"))
     least = _structured(frame.select(F.explode("tokens").alias("t")).select("t.band", "t.step"))
-    limit = "CASE t.band " + " ".join(f"WHEN {b} THEN {s}" for b, s in sorted(least.items())) + " ELSE 9999 END" if least else "9999"
+    always = int(math.ceil(-10 * math.log10(LEVEL)))
+    limit = "CASE t.band " + " ".join(f"WHEN {b} THEN {min(s, always)}" for b, s in sorted(least.items())) + f" ELSE {always} END" if least else f"{always}"
     random = (
         f"transform(filter(tokens, t -> t.step < {limit} AND NOT exists(base, b -> b.start < t.end AND t.start < b.end)), "
         "t -> struct(t.start AS start, 3 AS kind, t.end AS end))"
     )
-    return frame.select("doc_id", F.expr(f"array_sort(concat(base, {random}))").alias("found"))
+    return frame.select(*others, F.expr(f"array_sort(concat(base, {random}))").alias("found"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and ``found``: array<struct<start, kind, end>> of all spans by start, then kind (index in KINDS)."""
+    return _with_found(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
 
 
 def _listed(spans: str) -> str:
@@ -182,14 +223,16 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; other columns stay.
 
-    Spans join by doc_id; a document without spans is returned as it is.
+    Each row is masked by its own spans; a row without spans is returned as it is.
     """
-    spans = scan(docs).where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias("found"))
     step = (
         "(s, x) -> struct(greatest(s.at, x.end) AS at, CASE WHEN x.start < s.at THEN s.out "
-        f"ELSE concat(s.out, substring(text, s.at + 1, x.start - s.at), '{mark}') END AS out)"
+        f"ELSE array_append(array_append(s.out, substring(row.text, s.at + 1, x.start - s.at)), '{mark}') END AS out)"
     )
-    cut = f"aggregate(found, struct(0 AS at, '' AS out), {step}, s -> concat(s.out, substring(text, s.at + 1)))"
-    joined = docs.join(spans.withColumnRenamed("found", "__found"), "doc_id", "left")
-    text = F.expr(f"CASE WHEN __found IS NULL THEN text ELSE {cut.replace('found,', '__found,', 1)} END")
-    return joined.withColumn("text", text).select(*docs.columns)
+    none = "CAST(array() AS array<string>)"
+    cut = f"aggregate(found, struct(0 AS at, {none} AS out), {step}, s -> concat(array_join(s.out, ''), substring(row.text, s.at + 1)))"
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    packed = rows.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.expr(f"CASE WHEN size(found) = 0 THEN row.text ELSE {cut} END")
+    found = _with_found(packed)
+    return found.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
