@@ -161,7 +161,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 4 > n_words OR (n_dup_lines >= 3 AND n_dup_lines * 10 > len(l) * 3) OR word_chars > 15 * n_words OR word_chars * 2 < 3 * n_words
     OR length(regexp_replace(t, '[^A-Z]', '', 'g')) * 10 > word_chars * 4 OR length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) * 10 < word_chars * 6
-    OR (len(list_distinct(w)) * 20 < n_words AND n_words < 2000)) AS kept
+    OR (len(list_distinct(w)) * 20 < n_words AND len(list_distinct(w)) * len(list_distinct(w)) < 2 * n_words)) AS kept
 FROM f
 """
 
