@@ -270,8 +270,14 @@ def _variants(rng: np.random.Generator, others: list[str]) -> tuple[list[str], l
 def fit(docs: DataFrame) -> LicenceModel:
     """Train on the paragraphs of at most ``SAMPLE_DOCS`` documents and on altered templates."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64("doc_id").alias("order"), text.alias("text"))
-    sample = rows.orderBy("order", "text").limit(SAMPLE_DOCS).collect()
+    # two passes: tasks send numbers to find the sample, and only the sample's own texts travel
+    order = F.struct(F.xxhash64("doc_id").alias("id"), F.xxhash64(text).alias("text"))
+    last = docs.select(order.alias("order")).distinct().orderBy("order").limit(SAMPLE_DOCS).agg(F.max("order")).first()[0]
+    chosen = docs.select(order.alias("order"), text.alias("text"))
+    if last is not None:
+        chosen = chosen.where(F.col("order") <= F.struct(F.lit(last["id"]), F.lit(last["text"])))
+    # equal rows count once, so no more than SAMPLE_DOCS texts reach the driver
+    sample = chosen.dropDuplicates(["order"]).orderBy("order").collect()
     pairs = _template_pairs()
 
     def weak(grams: Grams, n: int) -> np.ndarray:
