@@ -172,6 +172,18 @@ def test_low_variety_is_judged_at_any_length(spark):
     assert [kept[n][0] for n in (1999, 2000, 20_000)] == [False] * 3 and kept[2501] == (True, False) and kept[19_001] == (True, False)
 
 
+def test_decontamination_of_repetitive_texts_and_tiny_items(spark):
+    item = "word " * 20
+    rows = [(1, "word " * 30_000), (2, "on the road again"), (3, "the"), (4, "word " * 12), (None, item), (5, "The  End"), (6, "the end of it")]
+    bench = spark.createDataFrame([(0, item), (1, "the"), (2, "the end"), (3, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([*rows, (7, "x alpha beta zzz delta epsilon y")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, bench).where("contaminated").collect()
+    assert {r.doc_id for r in found} == {1, 3, 4, 5, 7}
+    wide = spark.createDataFrame([(i, " ".join(f"q{i}x{k}" for k in range(12))) for i in range(400)], "item_id long, text string")
+    few = decontaminate.contamination(docs.union(wide.where("item_id = 9")), wide).where("contaminated").collect()
+    assert {r.doc_id for r in few} == {9}
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     rng = random.Random(2)
     item = [f"i{k}" for k in range(40)]
@@ -198,12 +210,12 @@ def test_decontamination(spark, odd_docs, no_docs):
 
 
 def test_decontamination_of_short_items(spark):
-    """Items of 1 to 14 words as they are; of 5 to 14 words with any one word replaced, of 15 to 17 with two."""
+    """Items of 5 to 14 words as they are or with any one word replaced, of 15 to 17 with two; of 1 to 4 words as whole texts alone."""
     items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(1, 18)}
     swapped = [(n, (k,)) for n in range(5, 15) for k in range(n)] + [(n, (5, 10)) for n in (15, 16, 17)] + [(n, ()) for n in items]
     few = [(n, (0,)) for n in (2, 3, 4)] + [(n, (1, 3)) for n in range(5, 10)]
     rows = [
-        (i, " ".join(["before", "it", *("zzz" if k in out else w for k, w in enumerate(items[n])), "after"]), n, i < len(swapped))
+        (i, " ".join(["before", "it", *("zzz" if k in out else w for k, w in enumerate(items[n])), "after"]), n, i < len(swapped) and n > 4)
         for i, (n, out) in enumerate(swapped + few)
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int, hit boolean")

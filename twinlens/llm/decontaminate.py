@@ -10,12 +10,16 @@ on the diagonal must be at least ``SHARE`` percent of the item's.
 
 Items of up to ``SHORT`` words have seeds of their own length: one for each block of words
 left out, so that a replaced word anywhere in the item leaves a seed whole. Items of fewer
-than ``SUBSTITUTED`` words are looked up whole, as they are.
+than ``SUBSTITUTED`` words say nothing inside a text; they match a text that is nothing else.
+
+A text is compared on every diagonal with the item's stretch of it alone, so work and
+memory grow with its length even if all its words are the same.
 
 Rows: NULL texts and texts without words are clean; items without words are never matched;
-repeated rows are judged alike; columns other
-than doc_id / item_id and text are ignored. Words are split at ``\\x20 \\x09-\\x0D``
-and A-Z are lower-cased.
+repeated rows are judged alike; of rows with one ``doc_id`` and different texts, one that
+matches marks all; rows without ``doc_id`` can't be named and count as clean; very long
+texts are judged whole; an empty table gives no rows; columns other than doc_id / item_id
+and text are ignored. Words are split at ``\\x20 \\x09-\\x0D`` and A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -45,27 +49,34 @@ def _worded(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(F.col(key), text.alias("text")).select(key, words().alias("words"))
 
 
+def _unfit(mask: str) -> str:
+    """SQL: no window of the words ``v`` is looked up by the mask."""
+    return f"size(v) {'<' if len(mask) >= SUBSTITUTED else '<>'} {len(mask)}"
+
+
 def _seed_sql(masks: list[str]) -> str:
     """array<struct<hash, place, mask>> of all masked windows of ``words``."""
     parts = []
     for number, mask in enumerate(masks):
         picked = ", ".join(f"v[i + {k}]" for k, one in enumerate(mask) if one == "1")
         parts.append(
-            f"CASE WHEN size(v) < {len(mask)} THEN array() ELSE "
+            f"CASE WHEN {_unfit(mask)} THEN array() ELSE "
             f"transform(sequence(0, size(v) - {len(mask)}), i -> struct(xxhash64({number}, {picked}) AS hash, i AS place, {number} AS mask)) END"
         )
     hashed = "transform(words, w -> xxhash64(w))"
     return bind(hashed, "v", f"concat({', '.join(parts)})")
 
 
-def _kept_sql(masks: list[str], known: str) -> str:
-    """As above, but only seeds whose hash is in the literal list ``known``."""
+def _kept_sql(masks: list[str], known: dict[int, str]) -> str:
+    """As above, but only seeds whose hash is in the mask's literal list ``known``."""
     parts = []
     for number, mask in enumerate(masks):
+        if number not in known:
+            continue
         picked = ", ".join(f"v[i + {k}]" for k, one in enumerate(mask) if one == "1")
         hashes = f"transform(sequence(0, size(v) - {len(mask)}), i -> xxhash64({number}, {picked}))"
-        hit = f"transform(h, (x, i) -> CASE WHEN x IN ({known}) THEN struct(x AS hash, i AS place) END)"
-        parts.append(f"CASE WHEN size(v) < {len(mask)} THEN array() ELSE filter({bind(hashes, 'h', hit)}, s -> s IS NOT NULL) END")
+        hit = f"transform(h, (x, i) -> CASE WHEN x IN ({known[number]}) THEN struct(x AS hash, i AS place) END)"
+        parts.append(f"CASE WHEN {_unfit(mask)} THEN array() ELSE filter({bind(hashes, 'h', hit)}, s -> s IS NOT NULL) END")
     return bind("transform(words, w -> xxhash64(w))", "v", f"concat({', '.join(parts)})")
 
 
@@ -91,26 +102,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = items.select("item_id", F.size("words").alias("n"), F.explode(F.expr(_seed_sql(masks))).alias("s"))
     # the seeds of a short length come from items of that length alone
     own = F.expr(f"CASE s.mask {' '.join(f'WHEN {k} THEN n = {len(m)}' for k, m in enumerate(masks) if k >= len(MASKS))} ELSE true END" if short else "true")
-    seeds = durable(seeds.where(own).select("item_id", "s.hash", F.col("s.place").alias("at")).distinct())
+    seeds = durable(seeds.where(own).select("item_id", "s.hash", F.col("s.place").alias("at"), "s.mask").distinct())
     texts = _worded(docs, "doc_id")
     n_seeds = seeds.count()
     if n_seeds == 0:
         hits = texts.select("doc_id", F.expr("CAST(NULL AS struct<hash:bigint,place:int>)").alias("s")).where("false")
     elif n_seeds <= LITERALS:
-        known = ",".join(f"{r.hash}L" if r.hash != -(2**63) else "bigint(-9223372036854775808)" for r in seeds.select("hash").distinct().collect())
+        lists: dict[int, list[str]] = {}
+        for r in seeds.select("mask", "hash").distinct().collect():  # LITERALS at most, over all masks
+            lists.setdefault(r.mask, []).append(f"{r.hash}L" if r.hash != -(2**63) else "bigint(-9223372036854775808)")
+        known = {mask: ",".join(hashes) for mask, hashes in lists.items()}
         hits = texts.select("doc_id", F.explode(F.expr(_kept_sql(masks, known))).alias("s"))
     else:
         hits = texts.select("doc_id", F.explode(F.expr(_seed_sql(masks))).alias("s"))
-    hits = hits.select("doc_id", "s.hash", "s.place").join(_few(seeds), "hash")
+    hits = hits.select("doc_id", "s.hash", "s.place").join(_few(seeds.drop("mask")), "hash")
     lines = durable(hits.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct())
 
-    named = texts.join(_few(lines.select("doc_id").distinct()), "doc_id", "left_semi")
-    met = named.withColumnRenamed("words", "said").join(_few(lines), "doc_id")
-    met = met.join(_few(items.withColumnRenamed("words", "asked")), "item_id")
-    aligned = (
-        "zip_with(slice(said, greatest(diagonal, 0) + 1, size(asked) + least(diagonal, 0)), "
-        "slice(asked, greatest(-diagonal, 0) + 1, size(said) - greatest(diagonal, 0)), (a, b) -> coalesce(a = b, false))"
+    # every text once, with the diagonals to compare; each takes its own stretch of the text
+    sizes = items.select("item_id", F.size("words").alias("n"))
+    wanted = lines.join(_few(sizes), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "n")).alias("lines"))
+    stretch = (
+        "transform(lines, l -> struct(l.item_id AS item_id, l.diagonal AS diagonal, "
+        "slice(words, greatest(l.diagonal, 0) + 1, l.n + least(l.diagonal, 0)) AS said))"
     )
+    met = texts.join(_few(wanted), "doc_id").select("doc_id", F.inline(F.expr(stretch)))
+    met = met.join(_few(items.withColumnRenamed("words", "asked")), "item_id")
+    aligned = "zip_with(said, slice(asked, greatest(-diagonal, 0) + 1, size(said)), (a, b) -> coalesce(a = b, false))"
     start = "struct(0 AS run, 0 AS n, 0 AS best, 0 AS matched)"
     # best run on the diagonal: its score and its number of equal words
     step = (

@@ -137,10 +137,10 @@ line AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.i - b.i AS d FROM a
 pos AS (SELECT doc_id, item_id, d, doc.w AS said, item.w AS asked,
   unnest(range(greatest(1, 1 - d), least(len(item.w), len(doc.w) - d) + 1)) AS j
   FROM line JOIN doc ON doc.id = doc_id JOIN item ON item.id = item_id),
-step AS (SELECT doc_id, item_id, d, len(asked) AS n, j,
+step AS (SELECT doc_id, item_id, d, len(asked) AS n, j, said[j + d] = asked[j] AS same,
   sum(CASE WHEN said[j + d] = asked[j] THEN 1 ELSE -{d.PENALTY} END) OVER (PARTITION BY doc_id, item_id, d ORDER BY j) AS p FROM pos),
 low AS (SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, d ORDER BY j ROWS UNBOUNDED PRECEDING), 0)) AS q FROM step),
-best AS (SELECT doc_id, item_id, max(p - q) AS score FROM low GROUP BY doc_id, item_id, d, n HAVING max(p - q) >= least({d.ENOUGH}, n)),
+best AS (SELECT doc_id, item_id, max(p - q) AS score FROM low GROUP BY doc_id, item_id, d, n HAVING max(p - q) >= least({d.ENOUGH}, n) OR 100 * count_if(same) >= {d.SHARE} * n),
 hit AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(score) AS score FROM best GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(score, 0)::INT AS score
 FROM documents LEFT JOIN hit USING (doc_id)
