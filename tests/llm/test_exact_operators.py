@@ -209,6 +209,22 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent(spark):
+    """At most 0.6 symbols an id on the given documents, no frequent pair left, and an exact round trip."""
+    texts = pa.array([r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()])
+    ids, counts = PieceEncoder(BYTES, True).encode(texts)
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(counts)[counts > 0] - 1] = True
+    cut = np.flatnonzero(last[: repair.SHARD_IDS])[-1] + 1
+    ids, last = ids[:cut], last[:cut]
+    rules, sequence, ends = repair.compress(ids, last, 50257)
+    assert len(sequence) <= 0.6 * len(ids) and (repair.expand(sequence, rules, 50257) == ids).all()
+    pairs = (sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:])[~ends[:-1]]
+    places, uses = np.unique(pairs, return_counts=True)
+    same = (places >> np.uint64(32)) == (places & np.uint64(0xFFFFFFFF))
+    assert uses[~same].max() < repair.LEAST_USES
+
+
 def test_decontamination_of_short_items(spark):
     """Items of 5 to 14 words as they are or with any one word replaced, of 15 to 17 with two; of 1 to 4 words as whole texts alone."""
     items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(1, 18)}

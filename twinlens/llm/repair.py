@@ -1,8 +1,8 @@
 """Token ids as binary files, compressed by a Re-Pair grammar per shard.
 
 A shard is a run of whole documents in ascending ``doc_id`` order. Within it the
-frequent pairs of neighbouring symbols are replaced by nonterminals, round by round,
-until no pair is frequent. A shard row stores the rules, the expanded length of every
+frequent pairs of neighbouring symbols are replaced by nonterminals, the most frequent
+ones first, until no pair occurs ``LEAST_USES`` times. A shard row stores the rules, the expanded length of every
 nonterminal, the final sequence (16-bit symbols where they fit) and the number of
 symbols and ids of each document. Pairs never cross documents, so one document is
 decoded from its own symbols alone.
@@ -31,7 +31,8 @@ from twinlens.llm.tokens import encoder
 
 END_ID = 0  # appended to every document
 SHARD_IDS = 1 << 20  # a shard closes with the document that reaches this
-FREQUENT = 1 / 1500  # a pair is replaced if it holds this share of the shard's symbols
+LEAST_USES = 16  # a pair is replaced as long as it occurs so often in the shard
+TOGETHER = 64  # pairs with this part of the most frequent one's uses are replaced in the same round
 SHARD_SCHEMA = (
     "part int, shard int, doc_id array<long>, n_ids array<long>, n_symbols array<long>, "
     "terminals int, rules binary, expansions binary, width int, symbols binary"
@@ -39,31 +40,31 @@ SHARD_SCHEMA = (
 _HASH_BITS = 20
 
 
-def _frequent_pairs(sequence: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and keys of the pairs inside documents that occur ``least`` times or more."""
+def _frequent_pairs(sequence: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, names, which): the pairs inside documents that are replaced next, ``names[which]`` being those at the places.
+
+    Pairs with ``LEAST_USES`` or more, as far as they have a ``TOGETHER``-th of the most frequent one's.
+    """
     key = (sequence[:-1] << np.uint64(32)) | sequence[1:]
     slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
     # a slot counts at least as often as each of its pairs: only full slots are sorted
-    place = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot])
+    place = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= LEAST_USES)[slot])
     place = place[~last[place]]
     names, which, count = np.unique(key[place], return_inverse=True, return_counts=True)
-    often = count >= max(least, int(count.max(initial=0)) // 4)  # the most frequent ones first
-    keep = often[which]
-    place = place[keep]
-    return place, key[place]
+    keep = (count >= max(LEAST_USES, int(count.max(initial=0)) // TOGETHER))[which]
+    return place[keep], names, which[keep]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last): Re-Pair of ``ids``; ``last`` marks the final symbol of each document.
 
-    ``rules[k]`` are the two symbols of nonterminal ``terminals + k``.
+    ``rules[k]`` are the two symbols of nonterminal ``terminals + k``. Ends when no pair has ``LEAST_USES``.
     """
     rules: list[np.ndarray] = []
     made = 0
     sequence = ids.astype(np.uint64)
     while len(sequence) > 1:
-        least = max(16, int(len(sequence) * FREQUENT))
-        place, names_at = _frequent_pairs(sequence, last, least)
+        place, names, which = _frequent_pairs(sequence, last)
         if not len(place):
             break
         # of overlapping pairs in a row every second one is replaced
@@ -71,13 +72,13 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndar
         run = np.flatnonzero(opens)
         within = np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))
         keep = within % 2 == 0
-        place, names_at = place[keep], names_at[keep]
-        names, which, uses = np.unique(names_at, return_inverse=True, return_counts=True)
-        useful = uses >= 4
+        place, which = place[keep], which[keep]
+        useful = np.bincount(which, minlength=len(names)) >= 4
         if not useful.any():
             break
         number = np.cumsum(useful) - 1 + terminals + made
-        place, which = place[useful[which]], which[useful[which]]
+        keep = useful[which]
+        place, which = place[keep], which[keep]
         rules.append(np.stack([names[useful] >> np.uint64(32), names[useful] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += int(useful.sum())
         sequence = sequence.copy()
