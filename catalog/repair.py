@@ -8,6 +8,7 @@ from catalog.base import (
     LINE_SPLIT_SQL, ORDERS_SPLIT_SQL, draw_sql, lineitem_split, load, orders_split, rounded, uniform_sql,
 )
 from twinlens.operators import constraints, pii, refill, scd
+from twinlens.operators.roles import classify_columns
 from twinlens.sources.tables import stack_tables
 
 
@@ -79,6 +80,22 @@ def _plan(spark, sf):
     return pii.apply_pii_plan(customer, plan, customer, F.col("c_custkey"), seed=3)
 
 
+def _scored(spark, sf):
+    """Faked and dropped columns leave the comparison, shuffled ones stay."""
+    customer = load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    plan = pii.pii_plan({"c_name": "name", "c_mktsegment": "street"}, {"c_mktsegment": "Shuffle"})
+    return rounded(customer.select(*pii.scored_columns(customer.columns, plan)))
+
+
+def _modelled(spark, sf):
+    """What generators model: signal columns and keys; the rest is named and redrawn later."""
+    train, _ = orders_split(spark, sf)
+    train = train.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    roles = classify_columns(train, {"o_orderkey": "id", "o_custkey": "id"})
+    keep, fill = refill.columns_to_model(train.columns, roles, {"o_orderkey", "o_custkey"})
+    return rounded(train.select(*keep, F.lit(",".join(fill)).alias("refilled")))
+
+
 def _refill(spark, sf):
     train, held = orders_split(spark, sf)
     columns = ["o_custkey", "o_orderdate", "o_orderpriority"]
@@ -121,7 +138,9 @@ QUERIES = {
     "m03_value_kind": _pii_values,
     "m04_fake_column": _fake,
     "m05_apply_pii_plan": _plan,
+    "m06_scored_columns": _scored,
     "m07_refill": _refill,
+    "m08_columns_to_model": _modelled,
     "m09_m12_check_constraints": _constraints,
     "m13_enforce_constraints": _enforced,
 }
@@ -264,7 +283,12 @@ SQL = {
     "m03_value_kind": _shapes_sql(),
     "m04_fake_column": f"SELECT c_custkey, {_FAKES}, {_fake_sql('name', 'c_custkey', 'first_name', 3)} AS first_name FROM customer",
     "m05_apply_pii_plan": f"SELECT c_custkey, {_fake_sql('name', 'c_custkey', 'c_name', 3)} AS c_name, c_nationkey, c_mktsegment FROM customer",
+    "m06_scored_columns": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "m07_refill": _refill_sql(),
+    "m08_columns_to_model": (
+        f"WITH {ORDERS_SPLIT_SQL} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, 'o_orderdate' AS refilled FROM train "
+        "WHERE (SELECT count(DISTINCT o_orderstatus) <= 50 AND count(DISTINCT o_orderpriority) <= 50 FROM train)"
+    ),
     "m09_m12_check_constraints": _constraints_sql(),
     "m13_enforce_constraints": _enforced_sql(),
 }

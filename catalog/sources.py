@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import load, rounded
-from twinlens.operators.roles import detect_sdtypes
+from twinlens.model import TableMeta
+from twinlens.operators.roles import apply_schema_overrides, detect_sdtypes
 from twinlens.session import new_folder
 from twinlens.sources import tables
 
@@ -71,6 +72,16 @@ def _sdtypes(spark, sf):
     return tables.stack_tables({t: detect_sdtypes(load(spark, sf, t)) for t in (*OVERVIEW, "lineitem", "embeddings")})
 
 
+def _overrides(spark, sf):
+    """Edited types change the physical column; the chosen key becomes an id and keeps its values."""
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    found = {r["column"]: r["sdtype"] for r in detect_sdtypes(orders).collect()}
+    edits = {"o_orderkey": "categorical", "o_custkey": "id", "o_orderpriority": "numerical", "o_totalprice": "numerical", "absent": "id"}
+    typed, meta = apply_schema_overrides(orders, TableMeta(found), edits, "o_orderkey")
+    kinds = F.concat_ws(",", *[F.lit(f"{c}={meta.sdtypes[c]}") for c in orders.columns])
+    return rounded(typed.withColumn("sdtypes", kinds))
+
+
 QUERIES = {
     "io01_read_csv": _round_trip,
     "io01_read_csv_text": _text_round_trip,
@@ -81,6 +92,7 @@ QUERIES = {
     "io05_table_overview": _overview,
     "io05_table_preview": _preview,
     "io06_detect_sdtypes": _sdtypes,
+    "io07_apply_overrides": _overrides,
 }
 
 # ---- SQL -------------------------------------------------------------------
@@ -141,4 +153,9 @@ SQL = {
         "o_totalprice::VARCHAR AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 5"
     ),
     "io06_detect_sdtypes": _sdtypes_sql(),
+    "io07_apply_overrides": (
+        "SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, try_cast(o_orderpriority AS DOUBLE) AS o_orderpriority, "
+        "round(o_totalprice, 6) AS o_totalprice, 'o_orderkey=id,o_custkey=id,o_orderstatus=' || CASE WHEN (SELECT count(DISTINCT o_orderstatus) FROM orders) <= 50 "
+        "THEN 'categorical' ELSE 'unknown' END || ',o_orderpriority=numerical,o_totalprice=numerical' AS sdtypes FROM orders"
+    ),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import LINE_COPIES_SQL, LINE_ROLES, LINE_SPLIT_SQL, ORDER_ROLES, ORDERS_SPLIT_SQL, lineitem_boot, lineitem_split, load, orders_split, rounded, uniform_sql
 from catalog.privacy import customer_split, orders_copies
 from twinlens.operators import utility
+from twinlens.operators.counting import text_counts
 from twinlens.operators.refill import bootstrap_table
 
 _ROLES = LINE_ROLES
@@ -116,8 +117,18 @@ def _tstr_full(spark, sf):
     return rounded(utility.tstr_full(train, held, {"boot": boot}, roles, "c_mktsegment", "classification", "CUSTOMER"))
 
 
+def _tasks(spark, sf):
+    """Task of every column as a chosen target, once by its role and once by its distinct values as well."""
+    train, _ = lineitem_split(spark, sf)
+    columns = [*_ROLES.categorical, *_ROLES.numeric, "l_orderkey"]
+    counts = {r["column"]: r["n"] for r in text_counts(train, columns).groupBy("column").agg(F.count("value").alias("n")).collect()}
+    rows = [(c, utility.resolve_task(c, _ROLES), utility.resolve_task(c, _ROLES, counts[c]), counts[c]) for c in columns]
+    return spark.createDataFrame(rows, "column string, by_role string, by_values string, n_distinct long")
+
+
 QUERIES = {
     "u01_target_candidates": _candidates,
+    "u02_resolve_task": _tasks,
     "u03_drop_unseen_targets": _unseen,
     "u04_align_categories": _align,
     "u05_cap_training_rows": _cap_rows,
@@ -160,6 +171,13 @@ _SCORES = {"F": "o_totalprice / 500000", "O": "1 - o_totalprice / 500000", "P":
 
 SQL = {
     "u01_target_candidates": _candidates_sql(),
+    "u02_resolve_task": f"WITH {LINE_SPLIT_SQL} SELECT \"column\", CASE WHEN c THEN 'classification' ELSE 'regression' END AS by_role, "
+    "CASE WHEN c OR n_distinct BETWEEN 2 AND 20 THEN 'classification' ELSE 'regression' END AS by_values, n_distinct FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {c in _ROLES.categorical} AS c, count(DISTINCT {c}) AS n_distinct FROM train"
+        for c in [*_ROLES.categorical, *_ROLES.numeric, "l_orderkey"]
+    )
+    + ")",
     "u03_drop_unseen_targets": f"WITH {ORDERS_SPLIT_SQL} SELECT * FROM held WHERE o_orderstatus IN (SELECT o_orderstatus FROM train WHERE o_orderstatus <> 'P')",
     "u04_align_categories": (
         f"WITH {ORDERS_SPLIT_SQL}, tr AS (SELECT * FROM train WHERE o_orderpriority <> '1-URGENT'), "

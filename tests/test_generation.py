@@ -9,6 +9,7 @@ from twinlens.model import ColumnRoles, Relationship, TableMeta
 from twinlens.operators import fidelity, structure, synth
 from twinlens.operators.roles import apply_schema_overrides, classify_columns
 from twinlens.plans.evaluate import EvaluationConfig, evaluate
+from twinlens.plans.report import FRAMES, report_columns
 from twinlens.sources import tables as io
 
 SF = "/root/testdata/sf0.001"
@@ -175,11 +176,17 @@ def test_csv_round_trip(spark, tmp_path):
     assert io.read_tables(spark, [str(tmp_path / "out")])["OUT"].count() == 3
 
 
+def test_report_columns():
+    roles = ColumnRoles(["a", "b", "c"], ["d", "e"])
+    assert report_columns(roles) == ColumnRoles(["a", "b", "c"], ["d", "e"])
+    assert report_columns(roles, 4) == ColumnRoles(["a", "b", "c"], ["d"]) and report_columns(roles, 2) == ColumnRoles(["a", "b"], [])
+
+
 def test_end_to_end(spark, tmp_path):
     tables = {t.upper(): spark.read.parquet(f"{SF}/{t}.parquet") for t in ("customer", "orders")}
     tables["ORDERS"] = tables["ORDERS"].withColumn("o_until", F.date_add("o_orderdate", 9).cast("string"))
     config = EvaluationConfig(
-        generators=["bootstrap"], attack_trees=5, attack_depth=3, tree_depth=3, entity_key="o_custkey",
+        generators=["bootstrap", "no such generator"], attack_trees=5, attack_depth=3, tree_depth=3, report_trees=5, entity_key="o_custkey",
         sdtypes={"CUSTOMER": {"c_custkey": "id", "c_nationkey": "categorical"}, "ORDERS": {"o_orderkey": "id", "o_custkey": "id"}},
         primary_keys={"CUSTOMER": "c_custkey", "ORDERS": "o_orderkey"},
         scd_effective="o_orderdate", scd_end="o_until", pii={"CUSTOMER": {"c_name": "drop"}},
@@ -189,7 +196,29 @@ def test_end_to_end(spark, tmp_path):
     found = evaluate(tables, [Relationship("CUSTOMER", "c_custkey", "ORDERS", "o_custkey")], keys, config)
     assert found.leaderboard.count() == 1 and found.leaderboard.first()["overall"] > 0.5
     assert "c_name" not in found.suite["bootstrap"]["CUSTOMER"].columns
-    assert {r["status"] for r in found.privacy.collect()} <= {"PASS", "WARN", "FAIL", "SKIP"}
+    judged = ["membership_inference", "new_row_synthesis", "categorical_cap"]
+    assert {r["status"] for r in found.privacy.where(F.col("metric").isin(judged)).collect()} <= {"PASS", "WARN", "FAIL", "SKIP"}
     assert found.structure.first()["fk_gate"] == "n/a"
+    assert [r["generator"] for r in found.failures.collect()] == ["no such generator"]
+    assert {"exact_match_rate", "dcr_ratio_median"} <= {r["metric"] for r in found.privacy.collect()}
+    frames = found.report
+    assert set(frames) == set(FRAMES) - {"correlations"}  # no table has two numbers
+    areas = {}
+    for r in frames["histograms"].collect():
+        areas.setdefault((r["table"], r["source"], r["column"]), []).append(r)
+    real = tables["CUSTOMER"].agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    for (table, source, column), rows in areas.items():
+        lows = sorted(r["low"] for r in rows)
+        assert source in ("real", "bootstrap") and len(rows) > 5
+        if column == "c_acctbal":
+            assert real[0] - 1 <= lows[0] <= lows[-1] <= real[1]
+    shares = {}
+    for r in frames["proportions"].collect():
+        shares[r["table"], r["source"], r["column"]] = shares.get((r["table"], r["source"], r["column"]), 0) + r["proportion"]
+    assert shares and all(v == pytest.approx(1) for (_, _, c), v in shares.items() if c in ("c_mktsegment", "o_orderstatus"))
+    close = {(r["table"], r["synth"]): r for r in frames["closeness"].collect()}
+    assert set(close) == {("CUSTOMER", "bootstrap"), ("ORDERS", "bootstrap")} and all(r["dcr_real_synth_p05"] <= r["dcr_real_synth_median"] for r in close.values())
+    assert {r["train_on"] for r in frames["full_efficacy"].collect()} == {"real", "bootstrap", "gap(real-bootstrap)"}
     found.write(str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report" / "failures"), header=True).count() == 1
     assert spark.read.json(str(tmp_path / "report" / "summary")).count() == 1

@@ -266,6 +266,12 @@ def test_hub_lifts_invariants(spark):
         structure.build_entity_hub({"A": a}, "zzz")
 
 
+def test_hub_lifts_any_number_of_columns(spark):
+    wide = spark.range(30).select((F.col("id") % 3).alias("k"), *[(F.col("id") % 3 + i).alias(f"c{i}") for i in range(12)])
+    assert len(structure.build_entity_hub({"A": wide}, "k")[3].lifted) == 12
+    assert list(structure.build_entity_hub({"A": wide}, "k", lift_limit=2)[3].lifted) == ["c0", "c1"]
+
+
 def test_relationship_rules():
     assert structure.check_relationships([REL, REL]) == [REL]
     with pytest.raises(ValueError):
