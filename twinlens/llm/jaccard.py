@@ -43,6 +43,7 @@ from twinlens.session import durable
 
 BROADCAST_ROWS = 1_000_000  # of two or three numbers; above it the join shuffles
 KEYS_PER_FLUSH = 1 << 19
+SLICE_BYTES = 1 << 19  # text handled at once: an executor runs several Python workers side by side
 
 _LANE = stream(6, 5) | np.uint64(1)
 
@@ -58,7 +59,7 @@ class JaccardParams:
     hot: int = 48  #: classes of one flush that share a signature: their rows are salted
     chunk: int = 2048  #: members of a group in one row
     pairwise: int = 64  #: groups up to this size are compared pair by pair, larger ones block by block
-    block: int = 512  #: sets in a block
+    block: int = 1 << 21  #: elements of the sets in a block, about; a larger set is a block of its own
 
 
 def bands(params: JaccardParams, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +180,7 @@ def _classes(batches: Iterator[pa.RecordBatch], params: JaccardParams, seed: int
     """Class of each document, and the bands in which it has too few segments."""
     hi, many = bands(params, bound)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             elements, sizes = shingle_sets(part.column("text"), params.words)
             one, two = identities(elements, sizes, seed)
             sets = Sets(elements, sizes, one)
@@ -265,7 +266,7 @@ def _signatures(
     hi, many = bands(params, bound)
     flush = _Flush(buckets, params.hot)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             elements, sizes = shingle_sets(part.column("text"), params.words)
             one, _ = identities(elements, sizes, seed)
             sets = Sets(elements, sizes, one)
@@ -366,7 +367,7 @@ def _deletions(
     """Whole segments and one-deletions of them in the bands ``short`` (a subset of the band numbers)."""
     hi, many = bands(params, bound)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             elements, sizes = shingle_sets(part.column("text"), params.words)
             one, _ = identities(elements, sizes, seed)
             sets = Sets(elements, sizes, one)
@@ -396,7 +397,7 @@ def _deletions(
 
 def _set_rows(batches: Iterator[pa.RecordBatch], params: JaccardParams, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             elements, sizes = shingle_sets(part.column("text"), params.words)
             one, _ = identities(elements, sizes, seed)
             cuts = np.append(0, np.cumsum(sizes))
@@ -515,25 +516,34 @@ def _deletion_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
+def _elements(
+    batches: Iterator[pa.RecordBatch], params: JaccardParams, seed: int, most: int, head: bool
+) -> Iterator[pa.RecordBatch]:
+    """Elements of the sets of at most ``most`` elements, a row each; with ``head`` only the first H + 1."""
+    for batch in batches:
+        for part in slices(batch, most=SLICE_BYTES):
+            elements, sizes = shingle_sets(part.column("text"), params.words)
+            one, _ = identities(elements, sizes, seed)
+            first = np.cumsum(sizes) - sizes
+            keep = np.flatnonzero((sizes > 0) & (sizes <= most))
+            length = (sizes[keep] + sizes[keep] * 5 // 4) // 9 + 1 if head else sizes[keep]
+            length = np.minimum(length, sizes[keep])
+            at = ragged(first[keep], length)
+            columns = [pa.array(np.repeat(x[keep], length)) for x in (one, sizes)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(elements[at].view(np.int64))], names=["class", "size", "element"])
+
+
 def _element_pairs(docs: DataFrame, classes: DataFrame, params: JaccardParams, seed: int) -> DataFrame:
     """Candidates of sets whose segments are too few even twice: any of their first H + 1 elements is shared."""
     stuck = durable(classes.where("stuck").groupBy("class").agg(F.first("n_shingles").alias("size")))
-    sets = docs.select("text").mapInArrow(partial(_set_rows, params=params, seed=seed), "class long, size long, elements binary")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values = np.frombuffer(blob, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(values), one)), pa.array(np.full(len(values), size)), pa.array(values),
-                     pa.array(np.arange(len(values)))],
-                    names=["class", "size", "element", "place"],
-                )
-
-    schema = "class long, size long, element long, place long"
-    mine = sets.join(stuck.select("class"), "class", "left_semi").mapInArrow(explode, schema)
-    mine = mine.where(F.col("place") <= F.floor((F.col("size") + F.floor(F.col("size") * 5 / 4)) / 9)).distinct()
-    other = sets.mapInArrow(explode, schema).select("element", F.col("class").alias("other"), F.col("size").alias("n"))
+    largest = int(stuck.agg(F.max("size")).first()[0] or 0)
+    schema = "class long, size long, element long"
+
+    def elements(most: int, head: bool) -> DataFrame:
+        return docs.select("text").mapInArrow(partial(_elements, params=params, seed=seed, most=most, head=head), schema)
+
+    mine = elements(largest, True).join(_few(stuck.select("class")), "class", "left_semi").distinct()
+    other = elements(largest * 5 // 4, False).select("element", F.col("class").alias("other"), F.col("size").alias("n"))
     near = mine.join(other, "element").where("class <> other AND 5 * n >= 4 * size AND 5 * size >= 4 * n")
     return near.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
@@ -576,12 +586,14 @@ def _settle(spark: SparkSession, member: DataFrame, sets: DataFrame, params: Jac
     hub = member.groupBy("gid", "band").agg(F.min("class").alias("b"))
     near = member.join(hub, ["gid", "band"]).select(F.col("class").alias("a"), "b").where("a <> b").distinct()
     pool = connected(spark, near).select(F.col("node").alias("class"), F.col("root").alias("pool"))
-    member = durable(member.select("class", "root").distinct().join(pool, "class"))
-    count = member.groupBy("pool", "root").agg(F.count("*").alias("n"))
+    member = member.select("class", "root").distinct().join(pool, "class")
+    member = durable(member.join(sets.select("class", "size"), "class"))
+    # sets travel once for every block they meet: blocks are as large as a task can hold, in elements
+    count = member.groupBy("pool", "root").agg(F.sum("size").alias("n"))
     facts = count.groupBy("pool").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all"))
     member = member.join(facts, "pool").withColumn("rest", F.col("root") != F.col("main"))
     size = F.when(F.col("rest"), F.col("all") - F.col("inner")).otherwise(F.col("inner"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / params.block)))
+    member = member.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / params.block))).drop("size")
     # blocks of the rest meet each other once, and every block of the main component
     outer = F.ceil((F.col("all") - F.col("inner")) / params.block)
     rest, main = member.where("rest"), member.where("NOT rest")
