@@ -30,6 +30,7 @@ Rows: NULL or wordless texts have an empty set and link with nothing; equal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
 
@@ -43,6 +44,7 @@ from twinlens.session import durable
 
 BROADCAST_ROWS = 1_000_000  # of two or three numbers; above it the join shuffles
 KEYS_PER_FLUSH = 1 << 19
+PAIRS_PER_BATCH = 500
 SLICE_BYTES = 1 << 19  # text handled at once: an executor runs several Python workers side by side
 
 _LANE = stream(6, 5) | np.uint64(1)
@@ -428,6 +430,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the join --------------------------------------------------------------
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that carry two sets each go to Python workers a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), PAIRS_PER_BATCH) if int(before) > 0 else PAIRS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """Broadcast only below a counted bound; otherwise left to a shuffle join."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -668,7 +682,8 @@ def class_links(docs: DataFrame, params: JaccardParams | None = None) -> tuple[D
     tested = _pairs(first.select(F.col("class").alias("x"), F.col("hub").alias("y")))
     if extra is not None:
         links, tested = links.union(_verify(extra, sets)), tested.union(extra)
-    tested, links = durable(tested.distinct()), durable(links)
+    with _small_batches(spark):
+        tested, links = durable(tested.distinct()), durable(links)
     root = connected(spark, links).withColumnRenamed("node", "class")
     named = member.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = named.groupBy("gid", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
@@ -678,7 +693,8 @@ def class_links(docs: DataFrame, params: JaccardParams | None = None) -> tuple[D
     pairs = few.join(other, ["gid", "band"]).where("x < y AND root <> apart AND (chosen OR also)")
     pairs = durable(_pairs(pairs).distinct().join(tested, ["a", "b"], "left_anti"))
     links = links.union(_verify(pairs, sets)).union(_settle(spark, named.where(F.col("size") > params.pairwise), sets, params))
-    return classes, durable(links)
+    with _small_batches(spark):
+        return classes, durable(links)
 
 
 def near_duplicates(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
