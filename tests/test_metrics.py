@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinlens.functions.values import printed
 from twinlens.model import ColumnRoles, Relationship
 from twinlens.operators import counting, encode, fidelity, knn, privacy, score, structure, utility
 
@@ -350,3 +351,12 @@ def test_long_categories_stay_whole(spark):
     assert {r["c"] for r in copy.collect()} == {long, "y"}
     frame = utility.tstr(df, df, {}, ColumnRoles(["n"], ["c"]), "c", "classification", max_depth=2)
     assert {r["score"] for r in frame.collect()} == {1.0}
+
+
+def test_printed_rounds_as_c_does(spark):
+    values = [0.6625, 0.0625, 2.25, 2.35, 1282.05, 0.125, 0.375, 7.0, 0.0, 1e17 / 3, -0.0625, -0.001]
+    values += [n / d for n in (51282, 90000) for d in range(1, 400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2, 3):
+        got = [r[0] for r in rows.select(printed(F.col("v"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.hashing import hash_uniform
-from twinlens.functions.values import as_number
+from twinlens.functions.values import as_number, printed
 from twinlens.model import ColumnRoles
 from twinlens.operators.counting import exact_percentiles, long_cells, text_counts
 from twinlens.operators.encode import Encoder, fit_encoder
@@ -425,14 +425,14 @@ def privacy_verdicts(metrics: DataFrame) -> DataFrame:
     )
     low = F.when(metric == "new_row_synthesis", baseline < 0.9).otherwise(baseline < 0.5)
     against = F.concat(
-        F.format_string("%.3f vs %.3f for a real holdout: ", value, baseline),
-        F.when(gap <= 0.05, "reaches the achievable ceiling").otherwise(F.format_string("%.2f below it", gap)),
+        F.concat(printed(value, 3), F.lit(" vs "), printed(baseline, 3), F.lit(" for a real holdout: ")),
+        F.when(gap <= 0.05, "reaches the achievable ceiling").otherwise(F.concat(printed(gap, 2), F.lit(" below it"))),
         F.when(low, " (low ceiling: a property of the table)").otherwise(""),
     )
     detail = (
         F.when(status == "SKIP", F.when(F.col("note") != "", F.col("note")).otherwise("not computable"))
-        .when(metric == "membership_inference", F.format_string("attacker AUC=%.3f", value))
+        .when(metric == "membership_inference", F.concat(F.lit("attacker AUC="), printed(value, 3)))
         .when(baseline.isNotNull(), against)
-        .otherwise(F.format_string("%.3f, no baseline", value))
+        .otherwise(F.concat(printed(value, 3), F.lit(", no baseline")))
     )
     return metrics.withColumns({"status": status, "detail": detail})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import naming
 from twinlens.functions.dates import parse_datetime, spans_calendar
-from twinlens.functions.values import text_key
+from twinlens.functions.values import printed, text_key
 from twinlens.model import (
     Relationship, Tables, is_date, is_integer, is_numeric, scalar_columns,
 )
@@ -123,8 +123,9 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
             _date_fraction(F.col("n_parsed"), F.col("n_filled"), F.col("first"), F.col("last")),
         ).otherwise(F.lit(0.0)),
     ).withColumn("role", _role())
-    repeats = F.format_string(
-        "repeats ~%.1f rows/value across %d values", F.try_divide("n_filled", "n_distinct"), F.col("n_distinct")
+    repeats = F.concat(
+        F.lit("repeats ~"), printed(F.try_divide("n_filled", "n_distinct"), 1),
+        F.format_string(" rows/value across %d values", F.col("n_distinct")),
     )
     note = (
         F.when(
