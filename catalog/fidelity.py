@@ -18,7 +18,7 @@ def _ks(spark, sf):
 
 
 def _tv(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, CAT)
     return rounded(fidelity.tv_complement(real, copies, CAT))
 
 
@@ -33,7 +33,7 @@ def _trends(spark, sf):
 
 
 def _correlation(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, NUM)
     return rounded(fidelity.correlation_similarity(real, copies, NUM))
 
 
@@ -74,22 +74,22 @@ def _pair_details(spark, sf):
 
 
 def _histogram(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, NUM)
     return rounded(charts.histogram(real, copies, NUM))
 
 
 def _proportions(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, [*CAT, "l_quantity"])
     return rounded(charts.category_proportions(real, copies, [*CAT, "l_quantity"], top=20))
 
 
 def _proportions_overlay(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, [*CAT, "l_quantity"])
     return rounded(charts.category_proportions(real, copies, [*CAT, "l_quantity"], top=15, real_only=True))
 
 
 def _corr_matrix(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, NUM)
     return rounded(charts.correlation_matrix(real, copies, NUM))
 
 
@@ -270,8 +270,9 @@ _KS_CTES = LINE_SPLIT_SQL + ", " + boot_sql("train", "row_key", [*LINE_ROLES.mod
 def _ks(spark, sf):  # noqa: F811
     from catalog.base import lineitem_boot
 
-    train, held = lineitem_split(spark, sf)
-    copies = {"boot": lineitem_boot(train, [*LINE_ROLES.modelable, "l_shipdate"]), "held": held}
+    columns = [*LINE_ROLES.numeric, "l_shipdate"]
+    train, held = lineitem_split(spark, sf, columns)
+    copies = {"boot": lineitem_boot(train, columns), "held": held}
     return rounded(fidelity.ks_complement(train, copies, [*NUM, "l_shipdate"]))
 
 

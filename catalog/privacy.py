@@ -103,7 +103,7 @@ NEAR_KEYS = ["l_quantity", "l_discount", "l_linenumber"]
 
 
 def _cap(spark, sf):
-    real, copies = line_copies(spark, sf)
+    real, copies = line_copies(spark, sf, [*CAP_KEYS, CAP_SECRET])
     return rounded(privacy.categorical_cap(real, copies["boot"], CAP_KEYS, CAP_SECRET))
 
 

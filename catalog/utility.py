@@ -101,9 +101,9 @@ def _tstr_line(spark, sf):
     """One feature, so that the fitted line has a closed form."""
     from twinlens.model import ColumnRoles
 
-    train, held = lineitem_split(spark, sf)
     roles = ColumnRoles(["l_quantity", "l_extendedprice"], [])
-    copies = {"boot": lineitem_boot(train)}
+    train, held = lineitem_split(spark, sf, roles.modelable)
+    copies = {"boot": lineitem_boot(train, roles.modelable)}
     frame = utility.tstr(train, held, copies, roles, "l_extendedprice", "regression", "LINEITEM")
     return rounded(frame.select("metric", "train_on", "score"), 5)
 

@@ -189,3 +189,27 @@ def test_many_classes_need_no_plan_literals(spark):
     names = sorted({str(i) for i in range(10_000)})
     first = data.train.where("y = 1234").first()
     assert int(names[1234]) % 2 == int(first["features"].toArray()[2])
+
+
+def test_single_column_draws_without_a_written_step(spark):
+    from twinlens import session
+
+    df = spark.range(500).select("id", (F.col("id") * 3).alias("a"), F.lit("x").alias("kept"))
+    app = spark.sparkContext.applicationId
+    before = len(session._STEPS.get(app, []))
+    one = refill.refill(df.select("id", "kept"), df, ["a"], F.col("id"), F.col("id"), ["a", "id"], seed=3)
+    assert len(session._STEPS.get(app, [])) == before
+    two = refill.refill(df.select("id"), df.withColumn("b", F.col("a")), ["a", "b"], F.col("id"), F.col("id"), seed=3)
+    assert one.columns == ["a", "id"] and one.count() == 500
+    assert sorted(map(tuple, one.select("id", "a").collect())) == sorted(map(tuple, two.select("id", "a").collect()))
+
+
+def test_both_parts_are_written_by_one_pass(spark):
+    from twinlens import session
+
+    df = spark.range(100).withColumn("v", F.when(F.col("id") != 7, F.col("id")))
+    before = len(session._STEPS.get(spark.sparkContext.applicationId, []))
+    rest, part = session.durable_parts(df, F.pmod("v", F.lit(4)) == 0)
+    assert len(session._STEPS[spark.sparkContext.applicationId]) == before + 1
+    assert rest.columns == part.columns == ["id", "v"] and (rest.count(), part.count()) == (74, 25)  # NULL is in neither
+    assert session.durable_parts(df.where("v < 0"), F.lit(True))[0].count() == 0
