@@ -18,7 +18,7 @@ from twinlens.session import durable, durable_parts, spread
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df) if table in ("lineitem", "orders", "events") else df
+    return spread(df) if table in ("lineitem", "orders", "customer", "events") else df
 
 
 # ---- lineitem --------------------------------------------------------------

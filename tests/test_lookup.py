@@ -213,3 +213,12 @@ def test_both_parts_are_written_by_one_pass(spark):
     assert len(session._STEPS[spark.sparkContext.applicationId]) == before + 1
     assert rest.columns == part.columns == ["id", "v"] and (rest.count(), part.count()) == (74, 25)  # NULL is in neither
     assert session.durable_parts(df.where("v < 0"), F.lit(True))[0].count() == 0
+
+
+def test_models_train_on_all_cores(spark):
+    df = spark.range(200).select("id", F.col("id").cast("double").alias("x"), F.pmod("id", F.lit(2)).cast("string").alias("y")).coalesce(1)
+    for target, task in (("y", "classification"), ("x", "regression")):
+        roles = ColumnRoles(["x"], ["y"])
+        data = utility._prepare(df, df, roles, target, task)
+        assert data.train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert data.train.count() == 200

@@ -19,7 +19,7 @@ from twinlens.operators.encode import Encoder, fit_encoder
 from twinlens.operators.knn import knn_distances
 from twinlens.operators.skew import heavy_keys, spread_join
 from twinlens.operators.utility import binary_auc
-from twinlens.session import durable
+from twinlens.session import durable, spread
 
 TOLERANCE = 0.01
 _CELL_SPAN = 10  # coarse cells are this many tolerance bands wide
@@ -81,7 +81,7 @@ def membership_inference(
     rows = rows.select("label", "__key", array_to_vector("attack").alias("attack"))
     test = hash_uniform(F.col("__key"), "attack-split", seed) < 0.4
     forest = RandomForestClassifier(featuresCol="attack", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    model = forest.fit(rows.where(~test))
+    model = forest.fit(spread(rows.where(~test)))  # read once per level of the trees
     scored = model.transform(rows.where(test)).select("label", vector_to_array("probability")[1].alias("score"))
     scored = durable(scored)
     auc = binary_auc(scored, "label", "score").first()["auc"]

@@ -18,7 +18,7 @@ from twinlens.model import ColumnRoles
 from twinlens.operators.counting import before_run, long_cells, ordered_runs, text_counts
 from twinlens.operators.encode import fit_encoder
 from twinlens.operators.lookup import value_counts, value_steps, values_to
-from twinlens.session import durable
+from twinlens.session import durable, spread
 
 REAL = "real"
 MISSING = "__nan__"
@@ -238,19 +238,22 @@ def _n_classes(train: DataFrame, target: str) -> int:
 
 
 def _prepare(train: DataFrame, test: DataFrame, roles: ColumnRoles, target: str, task: str) -> Prepared:
-    """Encode with statistics of the training rows; classes are numbered in a table, not in the plan."""
+    """Encode with statistics of the training rows; classes are numbered in a table, not in the plan.
+
+    Models read the training rows again and again, so these are spread over all cores.
+    """
     encoder = fit_encoder(train, roles.without(target))
     if task != "classification":
         y = as_number(F.col(target)).cast("double").alias("y")
         sides = [encoder.vectors(df, y).where(F.col("y").isNotNull()) for df in (train, test)]
-        return Prepared(*sides, task, 0)
+        return Prepared(spread(sides[0]), sides[1], task, 0)
     counts = value_counts(train, [target], nulls=False)
     steps = value_steps(counts)
     sides = []
     for df in (train, test):
         numbered = values_to(df, steps, {"__y": (target, F.col(target).cast("string"))}, F.col("place"))
         sides.append(encoder.vectors(numbered, F.col("__y").cast("double").alias("y")).where(F.col("y").isNotNull()))
-    return Prepared(*sides, task, counts.count())
+    return Prepared(spread(sides[0]), sides[1], task, counts.count())
 
 
 def _predict(data: Prepared, model) -> DataFrame:
