@@ -222,3 +222,13 @@ def test_models_train_on_all_cores(spark):
         data = utility._prepare(df, df, roles, target, task)
         assert data.train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         assert data.train.count() == 200
+
+
+def test_distances_to_pivots_are_taken_in_bounded_pieces(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(knn, "_MATRIX_CELLS", 100)
+    cells = knn._Cells(np.arange(10.0)[:, None])
+    batches = [pd.DataFrame({"v": [[float(i)] for i in range(n)]}) for n in (35, 0, 4)]
+    pieces = list(knn._pieces(iter(batches), cells))
+    assert [len(p) for p in pieces] == [10, 10, 10, 5, 4]
