@@ -232,3 +232,16 @@ def test_distances_to_pivots_are_taken_in_bounded_pieces(monkeypatch):
     batches = [pd.DataFrame({"v": [[float(i)] for i in range(n)]}) for n in (35, 0, 4)]
     pieces = list(knn._pieces(iter(batches), cells))
     assert [len(p) for p in pieces] == [10, 10, 10, 5, 4]
+
+
+def test_closeness_searches_real_rows_once_for_all_copies(spark, monkeypatch):
+    from twinlens.operators import privacy
+    from twinlens.plans import report
+
+    searches = []
+    monkeypatch.setattr(privacy, "knn_distances", lambda q, b, *a, **k: searches.append(1) or knn.knn_distances(q, b, *a, **k))
+    real = spark.range(40).select((F.col("id") * F.col("id")).cast("double").alias("x"))
+    copies = {"a": real.select((F.col("x") + 1).alias("x")), "b": real.where("x > 9")}
+    series = report.closeness_series(real, copies, ColumnRoles(["x"], []))
+    assert len(searches) == 3 and series.groupBy("series").count().count() == 3
+    assert {r["count"] for r in series.groupBy("series").count().collect()} == {40}
