@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens.functions.values import printed
+from twinlens.functions.values import nearest, printed
 from twinlens.model import ColumnRoles, Relationship
 from twinlens.operators import counting, encode, fidelity, knn, privacy, score, structure, utility
 
@@ -360,3 +360,20 @@ def test_printed_rounds_as_c_does(spark):
     for digits in (1, 2, 3):
         got = [r[0] for r in rows.select(printed(F.col("v"), digits)).collect()]
         assert got == [f"{v:.{digits}f}" for v in values]
+
+
+def test_shares_round_as_the_sql_does(spark):
+    import duckdb
+
+    pairs = [(k, n) for n in (51282, 100000, 90000, 600000, 20000, 150000) for k in range(1, 200)]
+    rows = spark.createDataFrame(pairs, "k long, n long").select("k", "n", nearest(F.try_divide("k", "n"), 4).alias("s"))
+    got = {(r["k"], r["n"]): r["s"] for r in rows.collect()}
+    con = duckdb.connect()
+    assert all(s == con.execute(f"SELECT round({k} / {n}, 4)").fetchone()[0] for (k, n), s in got.items())
+
+
+def test_profile_rounds_uniqueness_as_the_sql_does(spark):
+    from twinlens.operators.profile import profile_columns
+
+    df = spark.range(100000).select(F.pmod("id", F.lit(15)).alias("g"))
+    assert profile_columns(df).first()["uniqueness"] == 0.0001  # 0.00015, in binary a little less

@@ -60,3 +60,12 @@ def printed(value: Column, digits: int) -> Column:
     nearest = (below + F.when(up, 1).otherwise(0)) / F.lit(scale / 2)
     exact = F.when(size < 2**52 / scale, nearest).otherwise(size)
     return F.concat(F.when(value < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", exact))
+
+
+def nearest(value: Column, digits: int) -> Column:
+    """``value`` rounded to so many decimals as the SQL rounds: scaled first, then to a whole number.
+
+    ``round`` goes by the shortest decimal spelling: 0.00015 gives 0.0002, though scaled it is below 1.5.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale

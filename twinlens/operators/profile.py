@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import naming
 from twinlens.functions.dates import parse_datetime, spans_calendar
-from twinlens.functions.values import printed, text_key
+from twinlens.functions.values import nearest, printed, text_key
 from twinlens.model import (
     Relationship, Tables, is_date, is_integer, is_numeric, scalar_columns,
 )
@@ -139,10 +139,10 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     unique = F.when(F.col("n_filled") > 0, F.try_divide("n_distinct", "n_filled")).otherwise(0.0)
     return wide.select(
         "column", "position", "dtype", "n_rows", "n_distinct",
-        F.round(missing, 4).alias("null_frac"),
-        F.round(unique, 4).alias("uniqueness"),
+        nearest(missing, 4).alias("null_frac"),
+        nearest(unique, 4).alias("uniqueness"),
         "role",
-        F.round("dt_raw", 3).alias("dt_frac"),
+        nearest(F.col("dt_raw"), 3).alias("dt_frac"),
         note.alias("note"),
     )
 
