@@ -152,3 +152,15 @@ def test_relational_split(spark):
     assert 180 < hold["P"].count() < 320
     straddling = train["C"].join(hold["P"], F.col("fk") == F.col("pk")).count() + hold["C"].join(train["P"], F.col("fk") == F.col("pk")).count()
     assert straddling == 0
+
+
+def test_a_fixed_combination_is_parsed_once_per_row(spark):
+    rows = [(1, "a", None, 2.5), (2, None, None, None), (3, "x\"y", "2024-01-02", -0.0)]
+    df = spark.createDataFrame(rows, "id long, s string, d string, x double").withColumn("d", F.col("d").cast("date"))
+    rules = constraints.build_constraints([{"table": "t", "type": "fixed_combinations", "columns": ["s", "d", "x"]}], "t")
+    made = constraints.encode_constraints(df, rules).withColumn("__combo_s_d_x", F.when(F.col("id") < 4, F.col("__combo_s_d_x")))
+    back = constraints.decode_constraints(made, rules, df)
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    gone = constraints.decode_constraints(made.withColumn("__combo_s_d_x", F.lit(None).cast("string")), rules, df)
+    assert gone.count() == 3 and gone.where("s is null and d is null and x is null").count() == 3
