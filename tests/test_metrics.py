@@ -118,6 +118,19 @@ def test_knn_far_from_the_origin(spark):
             assert got[i] == pytest.approx(row, abs=1e-8)
 
 
+def test_knn_packs_hold_neighbouring_cells():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 900, 200)
+    sizes[7] = 9_500
+    pivots = rng.normal(size=(200, 3))
+    packs = knn._packed(sizes, knn._distances(pivots, pivots))
+    held = np.bincount(packs, weights=sizes)
+    assert packs.min() == 0 and len(np.unique(packs)) == len(held)
+    assert (packs == packs[7]).sum() == 1 and np.delete(held, packs[7]).max() <= knn.PACK
+    # a query meets few packs, however many pivots there are
+    assert len(held) <= 2 * sizes.sum() / knn.PACK + 3
+
+
 def test_knn_caps_k_at_the_base(spark):
     base = spark.createDataFrame([([0.0],), ([2.0],)], "features array<double>")
     assert knn.knn_distances(base, base, 5).first()["distances"] in ([0.0, 2.0], [2.0, 0.0])
