@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from twinlens.functions.values import nearest, printed
 from twinlens.model import ColumnRoles, Relationship
 from twinlens.operators import counting, encode, fidelity, knn, privacy, score, structure, utility
+from twinlens.session import durable
 
 
 def numbers(spark, n, seed, shift=0.0):
@@ -174,6 +175,16 @@ def test_new_row_synthesis_against_brute_force(spark, monkeypatch):
     assert privacy.new_row_synthesis(real, synth, ColumnRoles([], ["a"])).first()["n_matched"] == 250
 
 
+def test_new_row_synthesis_exchanges_rows_once(spark):
+    seen = durable(spark.range(300).select((F.col("id") * 1.5 + 1).alias("x"), F.lit("a").alias("c")))
+    asked = spark.range(40).select(F.col("id").alias("row"), (F.col("id") * 2.5 + 1).alias("x"), F.lit("a").alias("c"))
+    matched = privacy._matched_in_cells(asked, seen, ["x"], [F.col("c")], 0.01)
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 3  # the crowded cells, asked by both sides, and the rows found
+    want = {i for i in range(40) if any(abs(j * 1.5 + 1 - (i * 2.5 + 1)) <= 0.01 * (i * 2.5 + 1) for j in range(300))}
+    assert {r["row"] for r in matched.collect()} == want
+
+
 def test_near_copies(spark):
     real = spark.createDataFrame([("a", 100.0), ("a", 0.0), ("a", -40.0), ("b", None)], "a string, x double")
     synth = spark.createDataFrame(

@@ -194,7 +194,8 @@ def _cells_in_reach(value: Column, tolerance: float, width: float) -> Column:
 
 
 def _key(*parts: Column) -> Column:
-    return F.sha2(F.to_json(F.array(*parts)), 256)
+    """16 bytes: keys are what travels most."""
+    return F.unhex(F.md5(F.to_json(F.array(*parts))))
 
 
 def new_row_synthesis(
@@ -217,8 +218,9 @@ def new_row_synthesis(
 
     columns = numeric + categorical
     labels = [F.col(c) for c in categorical]
-    copies = points(synth).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    seen = points(real).distinct()
+    # both are read several times: written once
+    copies = durable(points(synth).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")))
+    seen = durable(points(real).distinct())
     fine = log(1 + tolerance) * (1 - 1e-9)
     fine_key = _key(*labels, *[_log_cell(F.col(c), fine) for c in numeric]).alias("fine")
     outright = seen.select(fine_key).distinct()
@@ -228,9 +230,8 @@ def new_row_synthesis(
         missed = left.join(outright, "fine", "left_anti")
         unmatched = missed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     else:
-        open_rows = left.join(outright, "fine", "left_anti").drop("fine").withColumn(
-            "row", _key(*[F.col(c).cast("string") for c in columns])
-        )
+        open_rows = left.join(outright, "fine", "left_anti").drop("fine")
+        open_rows = durable(open_rows.withColumn("row", F.monotonically_increasing_id()))  # fixed by writing them
         matched = _matched_in_cells(open_rows, seen, numeric, labels, tolerance)
         unmatched = open_rows.join(matched, "row", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     row = total.select(F.col("n").alias("n_rows")).withColumn("unmatched", unmatched.scalar())
@@ -264,7 +265,7 @@ def _matched_in_cells(
     points = seen.select(
         _key(*labels, *[_log_cell(F.col(c), width) for c in chosen]).alias("cell"),
         *[F.col(c).alias(f"r_{c}") for c in numeric],
-    ).distinct()
+    )  # distinct as ``seen`` is: a cell is a function of the row and holds its categories
     looking = open_rows
     for c in chosen:
         looking = looking.withColumn(f"__cell_{c}", F.explode(_cells_in_reach(F.col(c), tolerance, width)))
