@@ -94,7 +94,7 @@ def _new_rows_baseline(spark, sf):
 
 
 def _sensitive(spark, sf):
-    real, _ = lineitem_split(spark, sf)
+    real, _ = lineitem_split(spark, sf, LINE_ROLES.categorical)
     return rounded(privacy.sensitive_shares(real, LINE_ROLES.categorical))
 
 
@@ -108,13 +108,13 @@ def _cap(spark, sf):
 
 
 def _cap_baseline(spark, sf):
-    real, held = lineitem_split(spark, sf)
+    real, held = lineitem_split(spark, sf, [*CAP_KEYS, CAP_SECRET])
     return rounded(privacy.categorical_cap(real, held, CAP_KEYS, CAP_SECRET))
 
 
 def _generalized(spark, sf):
     """The attacker knows the holdout; keys without an exact match there are the interesting ones."""
-    real, held = lineitem_split(spark, sf)
+    real, held = lineitem_split(spark, sf, [*NEAR_KEYS, CAP_SECRET])
     return rounded(privacy.generalized_cap(real, held, NEAR_KEYS, CAP_SECRET))
 
 

@@ -92,7 +92,7 @@ def _tstr(spark, sf):
 
 
 def _tstr_regression(spark, sf):
-    train, held = lineitem_split(spark, sf)
+    train, held = lineitem_split(spark, sf, LINE_ROLES.modelable)
     boot = lineitem_boot(train)
     return rounded(utility.tstr(train, held, {"boot": boot}, LINE_ROLES, "l_extendedprice", "regression", "LINEITEM"))
 
