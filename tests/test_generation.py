@@ -1,15 +1,19 @@
 """Generators: resemblance, foreign keys by construction, reproducibility, end to end."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinlens.functions.normal import normal_cdf, normal_quantile
 from twinlens.model import ColumnRoles, Relationship, TableMeta
-from twinlens.operators import fidelity, structure, synth
+from twinlens.operators import fidelity, privacy, structure, synth
 from twinlens.operators.roles import apply_schema_overrides, classify_columns
 from twinlens.plans.evaluate import EvaluationConfig, evaluate
+from twinlens.plans.privacy import privacy_report
 from twinlens.plans.report import FRAMES, report_columns
+from twinlens.session import side_by_side
 from twinlens.sources import tables as io
 
 SF = "/root/testdata/sf0.001"
@@ -222,3 +226,21 @@ def test_end_to_end(spark, tmp_path):
     found.write(str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report" / "failures"), header=True).count() == 1
     assert spark.read.json(str(tmp_path / "report" / "summary")).count() == 1
+
+
+def test_copies_are_attacked_side_by_side(spark, monkeypatch):
+    """Two copies' attacks wait for each other, so one after the other would never end; rows keep their copy's name."""
+    meet = threading.Barrier(2, timeout=60)
+    real = spark.range(40).selectExpr("id", "id % 7 AS a", "cast(id % 3 AS string) AS b", "cast(id % 2 AS string) AS c")
+    copies = {"x": real.limit(10), "y": real.limit(20)}
+
+    def attack(train, holdout, synth, *args, **kwargs):
+        n = synth.count()
+        meet.wait()
+        return spark.createDataFrame([(n / 100, 0.5, 1, 1, str(n))], privacy.MIA_SCHEMA)
+
+    monkeypatch.setattr(privacy, "membership_inference", attack)
+    rows = privacy_report(real, real, copies, ColumnRoles(["a"], ["b", "c"]), F.col("id")).where("metric = 'membership_inference'").collect()
+    assert {r["synth"]: (r["value"], r["note"]) for r in rows} == {"x": (0.1, "10"), "y": (0.2, "20")}
+    with pytest.raises(ValueError, match="second"):
+        side_by_side(spark, [lambda: 1, lambda: int("second"), lambda: 3])
