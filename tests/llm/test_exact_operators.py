@@ -328,3 +328,29 @@ def test_packing_keeps_every_capacity():
 
 def test_words_of_brute():
     assert words("A b\x0bC") == ["a", "b", "c"]
+
+
+def test_a_piece_is_encoded_once_by_a_worker_and_longer_ones_are_not_kept():
+    tool = PieceEncoder(BYTES, True)
+    asked = []
+    pieces = tool.pieces
+    tool.pieces = lambda raws: asked.append(len(raws)) or pieces(raws)
+    texts = pa.array(["one two three " + "x" * 500, None, "three two é1 one"])
+    first, again = tool.encode(texts), tool.encode(texts)
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    assert asked[1] == 1 and len(tool.kept) == tool.size.sum() and (np.diff(tool.names) > 0).all()
+    more = pa.array(["two four one", "x" * 500])
+    assert [x.tolist() for x in tool.encode(more)] == [x.tolist() for x in PieceEncoder(BYTES, True).encode(more)]
+
+
+@pytest.mark.parametrize("bits", [4, 20])
+def test_frequent_pairs_counted_by_slots_equal_sorted_ones(monkeypatch, bits):
+    rng = np.random.default_rng(2)
+    sequence, last = rng.integers(0, 40, 30000).astype(np.uint64), rng.random(30000) < 0.01
+    monkeypatch.setattr(repair, "_HASH_BITS", bits)
+    found = []
+    for least in (0, 1 << 30):
+        monkeypatch.setattr(repair, "_HASH_SORTED", least)
+        place, names, which = repair._frequent_pairs(sequence, last)
+        found.append((place.tolist(), names[which].tolist()))
+    assert found[0] == found[1] and len(found[0][0])

@@ -38,6 +38,7 @@ SHARD_SCHEMA = (
     "terminals int, rules binary, expansions binary, width int, symbols binary"
 )
 _HASH_BITS = 20
+_HASH_SORTED = 1 << 19  # fewer pairs than this are sorted
 
 
 def _frequent_pairs(sequence: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,12 +48,24 @@ def _frequent_pairs(sequence: np.ndarray, last: np.ndarray) -> tuple[np.ndarray,
     """
     key = (sequence[:-1] << np.uint64(32)) | sequence[1:]
     slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
-    # a slot counts at least as often as each of its pairs: only full slots are sorted
-    place = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= LEAST_USES)[slot])
-    place = place[~last[place]]
-    names, which, count = np.unique(key[place], return_inverse=True, return_counts=True)
-    keep = (count >= max(LEAST_USES, int(count.max(initial=0)) // TOGETHER))[which]
-    return place[keep], names, which[keep]
+    # a slot counts at least as often as each of its pairs: only full slots are looked at
+    place = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= LEAST_USES)[slot] & ~last[:-1])
+    key = key[place]
+    if len(place) < _HASH_SORTED:
+        names, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = (count >= max(LEAST_USES, int(count.max(initial=0)) // TOGETHER))[which]
+        return place[keep], names, which[keep]
+    # one pair of each slot is counted by the slot, the few others that fell into it are sorted
+    which = slot[place]
+    holder = np.zeros(1 << _HASH_BITS, np.uint64)
+    holder[which] = key
+    others = np.flatnonzero(holder[which] != key)
+    names, rest = np.unique(key[others], return_inverse=True)
+    which[others] = rest + (1 << _HASH_BITS)
+    count = np.bincount(which, minlength=(1 << _HASH_BITS) + len(names))
+    often = count >= max(LEAST_USES, int(count.max(initial=0)) // TOGETHER)
+    keep = often[which]
+    return place[keep], np.concatenate([holder, names])[often], (np.cumsum(often) - 1)[which[keep]]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +114,16 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids of a sequence of symbols."""
+    lengths = expansion_lengths(rules, terminals)
+    if 0 < lengths.sum() <= len(symbols):  # every rule is expanded once and its ids copied to each of its places
+        table = np.concatenate([np.arange(terminals, dtype=np.uint32), _expand(np.arange(terminals, terminals + len(rules)), rules, terminals)])
+        size = np.append(np.ones(terminals, np.int64), lengths)
+        first = np.cumsum(size) - size
+        return table[ragged(first[symbols], size[symbols])]
+    return _expand(symbols, rules, terminals)
+
+
+def _expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     symbols = symbols.astype(np.uint32)
     while True:
         inner = symbols >= terminals
