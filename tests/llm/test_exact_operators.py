@@ -354,3 +354,19 @@ def test_frequent_pairs_counted_by_slots_equal_sorted_ones(monkeypatch, bits):
         place, names, which = repair._frequent_pairs(sequence, last)
         found.append((place.tolist(), names[which].tolist()))
     assert found[0] == found[1] and len(found[0][0])
+
+
+def test_signatures_travel_in_few_bytes():
+    """Every class, band and spare quota comes back, equal keys stay equal, and a signature takes under 10 bytes in all."""
+    rng = np.random.default_rng(3)
+    ids = np.repeat(rng.integers(-(2**62), 2**62, 300), 160)
+    band = np.tile(np.repeat([4, 5], 80), 300)
+    slack = np.where(ids == ids[0], 70_000, ids % 50 - 20)
+    key = jaccard.mix(np.arange(len(ids), dtype=np.uint64) % np.uint64(40_000)) ^ band.astype(np.uint64)
+    flush = jaccard._Flush(32, 1000)
+    flush.add(ids, band, slack, key)
+    rows = [r for batch in flush.rows() for r in batch.to_pylist()]
+    found = [np.concatenate(c) for c in zip(*(jaccard._unpacked(r) for r in rows), strict=True)]
+    assert sorted(zip(*(c.tolist() for c in found[:3]), strict=True)) == sorted(zip(ids.tolist(), band.tolist(), slack.tolist(), strict=True))
+    assert np.array_equal(np.sort(np.unique(found[3], return_counts=True)[1]), np.sort(np.unique(key, return_counts=True)[1]))
+    assert sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes)) < 10 * len(ids)

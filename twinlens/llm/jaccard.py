@@ -202,8 +202,33 @@ def _classes(batches: Iterator[pa.RecordBatch], params: JaccardParams, seed: int
             )
 
 
-_ROW_SCHEMA = "bucket int, ids binary, bands binary, slack binary, counts binary, keys binary, kind int"
+_ROW_SCHEMA = "bucket int, ids binary, opens binary, bands binary, slack binary, counts binary, keys binary, kind int"
 PLAIN, SALTED, MARK, DELETION = 0, 1, 2, 3
+_KEY_BYTES = 5  # of a key that travel: equal keys stay equal, and two that become equal in one bucket and band are one more candidate
+
+
+def _narrow(values: np.ndarray, small: type, large: type) -> np.ndarray:
+    """``small`` numbers if all fit; the reader tells the width from the number of bytes."""
+    return values.astype(small if values.max(initial=0) <= np.iinfo(small).max and values.min(initial=0) >= np.iinfo(small).min else large)
+
+
+def _wide(raw: bytes, n: int, small: type, large: type) -> np.ndarray:
+    return np.frombuffer(raw, small if len(raw) == n * np.dtype(small).itemsize else large)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """(ids, bands, slack, keys, kind) of each signature in a row of :class:`_Flush`; a key holds its band."""
+    bands = np.frombuffer(row["bands"], np.uint8)
+    n = len(bands)
+    length = _wide(row["counts"], n, np.uint8, np.uint32).astype(np.int64)
+    opens = np.unpackbits(np.frombuffer(row["opens"], np.uint8), count=n)
+    ids = np.frombuffer(row["ids"], np.int64)[np.cumsum(opens) - 1]
+    slack = _wide(row["slack"], n, np.int16, np.int32).astype(np.int32)
+    ids, bands, slack = (np.repeat(x, length) for x in (ids, bands, slack))
+    key = np.zeros((len(ids), 8), np.uint8)
+    key[:, :_KEY_BYTES] = np.frombuffer(row["keys"], np.uint8).reshape(-1, _KEY_BYTES)
+    key[:, _KEY_BYTES] = bands
+    return ids, bands, slack, key.view("<u8").ravel().astype(np.uint64), np.full(len(ids), row["kind"], np.uint8)
 
 
 class _Flush:
@@ -249,16 +274,23 @@ class _Flush:
         names = np.unique(bucket)
         cut_run = np.append(np.searchsorted(bucket[run], names), len(run))
         cut_key = np.append(np.searchsorted(bucket, names), len(bucket))
-        columns = [ids[run], band[run].astype(np.uint8), slack[run].astype(np.int32), length.astype(np.uint32)]
-
-        def blob(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-            return pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-
+        fresh = np.append(True, ids[run][1:] != ids[run][:-1])  # a class has a run per band, one after the other
+        fresh[cut_run[:-1]] = True
+        sent = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8 * _KEY_BYTES)
+        sent = np.ascontiguousarray(sent.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
+        ids, band, slack = ids[run], band[run].astype(np.uint8), slack[run]
+        columns: list[list[bytes]] = [[] for _ in range(6)]
+        for (a, b), (x, y) in zip(zip(cut_run[:-1], cut_run[1:], strict=True), zip(cut_key[:-1], cut_key[1:], strict=True), strict=True):
+            parts = (
+                ids[a:b][fresh[a:b]], np.packbits(fresh[a:b]), band[a:b], _narrow(slack[a:b], np.int16, np.int32),
+                _narrow(length[a:b], np.uint8, np.uint32), sent[x:y],
+            )
+            for column, part in zip(columns, parts, strict=True):
+                column.append(part.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.astype(np.int32)), *(blob(c, cut_run) for c in columns), blob(key, cut_key),
-             pa.array(np.full(len(names), kind, np.int32))],
-            names=["bucket", "ids", "bands", "slack", "counts", "keys", "kind"],
-        )
+            [pa.array(names.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns), pa.array(np.full(len(names), kind, np.int32))],
+            names=["bucket", "ids", "opens", "bands", "slack", "counts", "keys", "kind"],
+        )
 
 
 def _signatures(
@@ -291,13 +323,7 @@ def _groups(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
     buckets: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            length = np.frombuffer(row["counts"], np.uint32)
-            key = np.frombuffer(row["keys"], np.uint64)
-            columns = [
-                np.repeat(np.frombuffer(row[name], kind), length)
-                for name, kind in (("ids", np.int64), ("bands", np.uint8), ("slack", np.int32))
-            ]
-            buckets.setdefault(row["bucket"], []).append((*columns, key, np.full(len(key), row["kind"], np.uint8)))
+            buckets.setdefault(row["bucket"], []).append(_unpacked(row))
     for held in buckets.values():
         ids, band, slack, key, kind = (np.concatenate([h[i] for h in held]) for i in range(5))
         held.clear()
