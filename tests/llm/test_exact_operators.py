@@ -339,6 +339,8 @@ def test_a_piece_is_encoded_once_by_a_worker_and_longer_ones_are_not_kept():
     first, again = tool.encode(texts), tool.encode(texts)
     assert all((a == b).all() for a, b in zip(first, again, strict=True))
     assert asked[1] == 1 and len(tool.kept) == tool.size.sum() and (np.diff(tool.names) > 0).all()
+    tool.forget()
+    assert all((a == b).all() for a, b in zip(first, tool.encode(texts), strict=True)) and len(tool.names)
     more = pa.array(["two four one", "x" * 500])
     assert [x.tolist() for x in tool.encode(more)] == [x.tolist() for x in PieceEncoder(BYTES, True).encode(more)]
 

@@ -282,8 +282,8 @@ def _count_links(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) ->
     tools = worker(path_a, path_b)
     for batch in batches:
         for part in slices(batch, most=SLICE_BYTES):
-            if len(tools.encode_a.kept) > KEPT_PIECES:
-                tools.encode_a.kept.clear()
+            if len(tools.encode_a.names) > KEPT_PIECES:
+                tools.encode_a.forget()
             found = tools.align(part.column("text"))
             n = found.n_texts
             pair = found.ids_a[found.link_a].astype(np.int64) * tools.side + found.ids_b[found.link_b]
