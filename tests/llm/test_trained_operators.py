@@ -146,6 +146,48 @@ def test_predictive_probabilities_sum_to_one(spark):
         assert chance.sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def test_words_before_are_contexts(spark):
+    """The word before, and the one before that, decide; both pairs end in the same letters and words."""
+    kept = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2]
+    out = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    lines = ["red cat sleeps", "big cat runs", "xxab north", "yyab south"]
+    rows = [(i, lines[n % 4]) for n, i in enumerate(kept)]
+    rows += list(zip(out, ["red cat sleeps", "red cat runs", "xxab north", "xxab south"], strict=True))
+    score = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[out[0]] > score[out[1]] + 1 and score[out[2]] > score[out[3]] + 1
+
+
+def test_spread_words_before(spark):
+    """Words before that are spread over buckets: probabilities sum to 1 there, scores are near those of one bucket."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("a a a b c d e f g".split()) for _ in range(30))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    types, totals = pitman_yor.train(docs.select("text"), 3)
+    assert len(totals.spread) >= 1 and totals.words == 8 and totals.tokens == 120 * 31
+    whole = 0
+    for row in types.collect():
+        word, context, held = pitman_yor._row_arrays(row.asDict())
+        known = (word, context, held, *pitman_yor._predictive(row.bucket, word, context, held, totals))
+        if len(held.words) < 8:
+            continue
+        full = np.flatnonzero(np.bincount(held.pair_v) == 8)  # a bucket asks the root for its own pairs alone
+        for one in np.unique(context[np.isin(held.v, full)]):
+            asked = np.append(held.words, np.uint64(12345))
+            chance = 10 ** pitman_yor.lookup(asked, np.full(len(asked), one), known, totals)[1]
+            assert chance.sum() == pytest.approx(1.0, abs=1e-9)
+            whole += 1
+    assert whole
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r.doc_id: r.score for r in pitman_yor.score(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys()
+    assert all(found[1][i] == pytest.approx(x, rel=0.05) for i, x in found[0].items())
+
+
 def test_language_model_without_training_rows(spark, no_docs):
     only_held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     rows = pitman_yor.score(spark.createDataFrame([(i, "x y") for i in only_held], "doc_id long, text string")).collect()
