@@ -54,6 +54,21 @@ def test_jaccard_equals_brute_force(spark, params):
     assert joined(jaccard.near_duplicates(docs, params)) == components(rows)
 
 
+def test_blocks_travel_packed():
+    """A block of near copies comes back whole and takes far fewer bytes than its sets."""
+    rng = np.random.default_rng(1)
+    seed = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(seed, 380, replace=False), rng.integers(0, 2**63, 5, dtype=np.uint64))) for _ in range(200)]
+    n = len(sets)
+    columns = {"pool": [7] * n, "rest": [True] * n, "block": [2] * n, "outer": [3] * n, "inner": [4] * n, "class": range(n)}
+    table = pa.table({**{k: list(v) for k, v in columns.items()}, "elements": pa.array([x.tobytes() for x in sets], pa.binary())})
+    row = jaccard._packed(table).to_pylist()[0]
+    assert [row[k] for k in ("pool", "rest", "block", "outer", "inner")] == [7, True, 2, 3, 4]
+    ids, found = jaccard._unpacked_sets(row)
+    assert sorted(ids.tolist()) == list(range(n)) and all((found[k] == sets[i]).all() for k, i in enumerate(ids.tolist()))
+    assert len(row["sets"]) * 3 < sum(x.nbytes for x in sets)
+
+
 @pytest.mark.parametrize("params", [JaccardParams(hot=4, chunk=5), JaccardParams(chunk=5), JaccardParams(pairwise=3, block=500), JaccardParams(pairwise=2, block=12_000)], ids=["salted", "long lists", "blocks", "one block"])
 def test_jaccard_hot_group(spark, params):
     """One group of near copies, cut into salted parts and rows of a few members."""

@@ -588,11 +588,43 @@ def _element_pairs(docs: DataFrame, classes: DataFrame, params: JaccardParams, s
     return near.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def _forest(table: pa.Table) -> pa.Table:
-    """Spanning forest of the links between the two blocks (or inside the one block) of a group."""
-    side = np.array(table.column("side").to_pylist())
+_BLOCK_SCHEMA = "pool long, rest boolean, block long, outer long, inner long, n_sets long, n_elements long, sets binary"
+_BLOCK_NAMES = ["pool", "rest", "block", "outer", "inner", "n_sets", "n_elements", "sets"]
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """The sets of a block as one row: its distinct elements, and each set as places among them.
+
+    Near copies share most of their places; sets with one smallest element lie side by side, so that they compress well.
+    """
     ids = table.column("class").to_numpy()
     blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+    order = sorted(range(len(ids)), key=lambda k: (int(blobs[k][0]), len(blobs[k]), int(ids[k])))
+    blobs = [blobs[k] for k in order]
+    names, place = np.unique(np.concatenate(blobs), return_inverse=True)
+    size = np.array([len(x) for x in blobs], np.int64)
+    raw = b"".join([ids[order].tobytes(), size.tobytes(), names.tobytes(), place.astype(np.uint32).tobytes()])
+    facts = [table.column(c)[0].as_py() for c in _BLOCK_NAMES[:5]]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 5, pa.binary()]
+    values = [*facts, len(ids), len(names), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)]
+    return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=_BLOCK_NAMES)
+
+
+def _unpacked_sets(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Classes and elements of the sets in a row of :func:`_packed`."""
+    n, m, blob = row["n_sets"], row["n_elements"], row["sets"]
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    names = np.frombuffer(raw, np.uint64, m, 16 * n)
+    cuts = np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n))[:-1]
+    return np.frombuffer(raw, np.int64, n), np.split(names[np.frombuffer(raw, np.uint32, -1, 16 * n + 8 * m)], cuts)
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """Spanning forest of the links between the two blocks (or inside the one block) of a group."""
+    sides = [(row["side"], *_unpacked_sets(row)) for row in table.select(["side", "n_sets", "n_elements", "sets"]).to_pylist()]
+    side = np.repeat([x[0] for x in sides], [len(x[1]) for x in sides])
+    ids = np.concatenate([x[1] for x in sides])
+    blobs = [b for x in sides for b in x[2]]
     size = np.array([len(x) for x in blobs])
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
     elements = np.concatenate([blobs[k] for k in right])
@@ -628,25 +660,28 @@ def _settle(spark: SparkSession, member: DataFrame, sets: DataFrame, params: Jac
     pool = connected(spark, near).select(F.col("node").alias("class"), F.col("root").alias("pool"))
     member = member.select("class", "root").distinct().join(pool, "class")
     member = durable(member.join(sets.select("class", "size"), "class"))
-    # sets travel once for every block they meet: blocks are as large as a task can hold, in elements
+    # a packed block travels once for every block it meets: blocks are as large as a task can hold, in elements
     count = member.groupBy("pool", "root").agg(F.sum("size").alias("n"))
     facts = count.groupBy("pool").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("all"))
     member = member.join(facts, "pool").withColumn("rest", F.col("root") != F.col("main"))
     size = F.when(F.col("rest"), F.col("all") - F.col("inner")).otherwise(F.col("inner"))
     member = member.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(size / params.block))).drop("size")
+    outer, inner = (F.ceil(x / params.block).alias(n) for x, n in ((F.col("all") - F.col("inner"), "outer"), (F.col("inner"), "inner")))
+    member = member.select("pool", "rest", "block", outer, inner, "class").join(sets.select("class", "elements"), "class")
+    blocks = durable(member.groupBy("pool", "rest", "block").applyInArrow(_packed, _BLOCK_SCHEMA))
     # blocks of the rest meet each other once, and every block of the main component
-    outer = F.ceil((F.col("all") - F.col("inner")) / params.block)
-    rest, main = member.where("rest"), member.where("NOT rest")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("other")
-    one = rest.select("class", "pool", "block", every).select(
-        "class", "pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(False).alias("with_main"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
+    rest, main = blocks.where("rest"), blocks.where("NOT rest")
+    sent = ["n_sets", "n_elements", "sets"]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("other")
+    one = rest.select("pool", "block", every, *sent).select(
+        "pool", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(False).alias("with_main"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), *sent,
     )
-    inner = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("inner") / params.block) - 1)).alias("j")
-    two = rest.select("class", "pool", F.col("block").alias("i"), inner).selectExpr("class", "pool", "i", "j", "true AS with_main", "0 AS side")
-    three = main.select("class", "pool", every, "block").selectExpr("class", "pool", "other AS i", "block AS j", "true AS with_main", "1 AS side")
-    dealt = one.unionByName(two).unionByName(three).join(sets.select("class", "elements"), "class")
-    return dealt.groupBy("pool", "i", "j", "with_main").applyInArrow(_forest, "a long, b long")
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1)).alias("j")
+    two = rest.select("pool", F.col("block").alias("i"), met, F.lit(True).alias("with_main"), F.lit(0).alias("side"), *sent)
+    three = main.select("pool", every, "block", *sent)
+    three = three.select("pool", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(True).alias("with_main"), F.lit(1).alias("side"), *sent)
+    return one.unionByName(two).unionByName(three).groupBy("pool", "i", "j", "with_main").applyInArrow(_forest, "a long, b long")
 
 
 def _pairs(frame: DataFrame) -> DataFrame:
