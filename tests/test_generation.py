@@ -150,6 +150,22 @@ def test_suite_skips_failures(spark):
     assert synth.generate_suite(job, ["bootstrap"], should_cancel=lambda: True) == {}
 
 
+def test_score_correlation_within_tasks(spark):
+    """Sums of the tasks give the pairwise-complete correlation of the scores; a constant column has none."""
+    rows = [(float(i % 37), float((i * 7) % 37 + i % 3) if i % 5 else None, "abc"[i % 3] if i % 4 else None, 2.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "x double, y double, c string, one double").repartition(5)
+    marginals, _, steps = synth._fit_marginals(df, ColumnRoles(["x", "y", "one"], ["c"]))
+    found = synth._score_correlation(df, marginals, steps)
+    scores = synth.normal_scores(df, marginals, [], steps).toPandas()
+    assert scores["y"].isna().sum() == 80 and scores["c"].isna().sum() == 100
+    expected = scores.drop(columns="one").corr()
+    names = [m.column for m in marginals]
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            want = float(a == b) if "one" in (a, b) else expected.loc[a, b]
+            assert abs(found[i, j] - want) < 1e-9
+
+
 def test_constrained_copula(spark):
     df = spark.range(400).select("id", F.rand(1).alias("low"), (F.rand(1) + F.rand(2)).alias("high"))
     spec = {"table": "T", "type": "inequality", "low": "low", "high": "high"}
