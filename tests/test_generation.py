@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.normal import normal_cdf, normal_quantile
 from twinlens.model import ColumnRoles, Relationship, TableMeta
-from twinlens.operators import fidelity, privacy, structure, synth
+from twinlens.operators import fidelity, privacy, structure, synth, utility
 from twinlens.operators.roles import apply_schema_overrides, classify_columns
 from twinlens.plans.evaluate import EvaluationConfig, evaluate
 from twinlens.plans.privacy import privacy_report
@@ -260,3 +260,37 @@ def test_copies_are_attacked_side_by_side(spark, monkeypatch):
     assert {r["synth"]: (r["value"], r["note"]) for r in rows} == {"x": (0.1, "10"), "y": (0.2, "20")}
     with pytest.raises(ValueError, match="second"):
         side_by_side(spark, [lambda: 1, lambda: int("second"), lambda: 3])
+
+
+def test_models_of_all_sources_are_fitted_side_by_side(spark, monkeypatch):
+    """Four models wait for each other, so one after the other would never end; rows come by model, the real table first."""
+    meet = threading.Barrier(4, timeout=60)
+    real = spark.range(60).selectExpr("id % 7 AS a", "cast(id % 3 AS string) AS b", "cast(id % 2 AS string) AS c").localCheckpoint()
+
+    def predict(data, model):
+        meet.wait()
+        return data.test.selectExpr("y AS label", "y AS prediction", "array(1 - y, y) AS scores")
+
+    monkeypatch.setattr(utility, "_predict", predict)
+    found = utility.tstr_full(real, real, {"x": real.limit(40)}, ColumnRoles(["a"], ["b", "c"]), "c", "classification", trees=2).collect()
+    assert [(r["model"], r["train_on"], r["accuracy"]) for r in found[:4]] == [
+        ("RandomForest", "real", 1.0), ("RandomForest", "x", 1.0), ("baseline", "real", 1.0), ("baseline", "x", 1.0),
+    ]
+
+
+def test_tables_are_fitted_side_by_side(spark, monkeypatch):
+    """The copulas of two tables wait for each other; every table keeps its own copy."""
+    meet, fit = threading.Barrier(2, timeout=60), synth.fit_gaussian_copula
+    tables = {t: spark.range(n).selectExpr("id", f"id * {n} AS x", "cast(id % 3 AS string) AS y") for t, n in (("A", 30), ("B", 50))}
+
+    def waiting(*args):
+        meet.wait()
+        return fit(*args)
+
+    monkeypatch.setattr(synth, "fit_gaussian_copula", waiting)
+    job = synth.SuiteInput(tables, {t: ColumnRoles(["x"], ["y"]) for t in tables}, {t: F.col("id") for t in tables}, primary_keys={"A": "id", "B": "id"})
+    failures: dict[str, str] = {}
+    made = synth.generate_suite(job, ["gaussiancopula"], failures=failures)["gaussiancopula"]
+    assert not failures and list(made) == ["A", "B"] and [made[t].count() for t in made] == [30, 50]
+    most = [df.agg(F.max("x")).first()[0] for df in made.values()]
+    assert most[0] <= 29 * 30 < most[1]
